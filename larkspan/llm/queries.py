@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from larkspan.llm.decontaminate import op10_decontamination
+from larkspan.llm.packing import op8_packing
 from larkspan.llm.simhash_gray import op1_simhash_gray
 from larkspan.llm.substring_dedup import op2_substring_dedup
 from larkspan.llm.suffix_dedup import op5_suffix_dedup
+from larkspan.llm.token_counts import op6_token_counts
+from larkspan.llm.toxicity import op9_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_gray, op2_substring_dedup, op5_suffix_dedup)}
+    return {f.__name__: f for f in (op1_simhash_gray, op2_substring_dedup, op5_suffix_dedup, op6_token_counts, op8_packing, op9_toxicity, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
