@@ -130,48 +130,77 @@ def _rare(items: Items, frequency: np.ndarray, least: int, share: float) -> dict
     return out
 
 
-def _align(items: Items, seeds: dict[int, list[int]], threshold: float):
-    chosen = np.zeros(len(items.seeds) + 1, bool)
-    chosen[list(seeds)] = True
+class _Finder:
+    """Looks for a block's items in texts."""
+
+    def __init__(self, items: Items, seeds: dict[int, list[int]], threshold: float) -> None:
+        self.items, self.seeds, self.threshold = items, seeds, threshold
+        self.chosen = np.zeros(len(items.seeds) + 1, bool)
+        self.chosen[list(seeds)] = True
+
+    def __call__(self, texts: list[bytes]) -> list[tuple[int, int, float, int]]:
+        """(number of the text, number of the item, score, end) of the best alignments that reach the threshold."""
+        items, jobs = self.items, []
+        for r, t in enumerate(texts):
+            if not t:
+                continue
+            x = items.numbers(t.decode())
+            at, which = items.hits(x)
+            keep = self.chosen[which]
+            places: dict[int, list[int]] = {}
+            for p, k in zip(at[keep].tolist(), which[keep].tolist()):
+                for i in self.seeds[k]:
+                    places.setdefault(i, []).append(p)
+            for i, found in places.items():
+                m, reach = len(items.words[i]), -1
+                for p in sorted(found):  # hits near each other share a window, of about four item lengths
+                    if p + m > reach:
+                        lo, reach = max(0, p - m - m // 4), p + 3 * m
+                        jobs.append((r, i, lo, x[lo:reach]))
+        best: dict[tuple[int, int], tuple[float, int]] = {}
+        jobs.sort(key=lambda j: len(items.words[j[1]]))
+        for a in range(0, len(jobs), 256):
+            some = jobs[a : a + 256]
+            score, end = smith_waterman([items.words[i] for _, i, _, _ in some], [w for *_, w in some])
+            for (r, i, lo, _), s, e in zip(some, score.tolist(), end.tolist()):
+                share = s / (MATCH * len(items.words[i]))
+                if share >= self.threshold:
+                    best[r, i] = max(best.get((r, i), (0.0, 0)), (share, lo + e))
+        return [(r, i, s, e) for (r, i), (s, e) in sorted(best.items())]
+
+
+def _blocks(docs: DataFrame, benchmark: DataFrame, n: int, share: float, least: int, threshold: float) -> Iterator[_Finder]:
+    """A finder for each block of test items; seeds are ranked by their count in all documents."""
+    tests = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text"))
+    texts = docs.select(text_or_empty().alias("text"))
+    blocks = parts_for(tests, "text", BLOCK_MB)
+    for block in range(blocks):
+        rows = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
+        items = Items.of([tuple(r) for r in rows], n)
+        if not len(items.seeds):
+            continue
+        frequency = np.zeros(len(items.seeds), np.int64)
+        for seed, count in texts.mapInArrow(_count(items), "seed long, n long").groupBy("seed").sum("n").collect():
+            frequency[seed] = count
+        yield _Finder(items, _rare(items, frequency, least, share), threshold)
+
+
+def _align(find: _Finder):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in row_slices(batches, "text", 2 << 20):
+            ids, found = rows.column(0).to_pylist(), find(texts)
+            cols = [[ids[r] for r, *_ in found], [find.items.ids[i] for _, i, *_ in found], [s for *_, s, _ in found], [e for *_, e in found]]
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "item_id", "score", "end_word"])
+
+    return run
+
 
+def _without(find: _Finder):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in row_slices(batches, "text", 2 << 20):
-            ids, jobs = rows.column(0).to_pylist(), []
-            for r, t in enumerate(texts):
-                if not t:
-                    continue
-                x = items.numbers(t.decode())
-                at, which = items.hits(x)
-                keep = chosen[which]
-                places: dict[int, list[int]] = {}
-                for p, k in zip(at[keep].tolist(), which[keep].tolist()):
-                    for i in seeds[k]:
-                        places.setdefault(i, []).append(p)
-                for i, found in places.items():
-                    m, reach = len(items.words[i]), -1
-                    for p in sorted(found):  # hits near each other share a window, of four item lengths at most
-                        if p + m > reach:
-                            lo, reach = max(0, p - m - m // 4), p + 3 * m
-                            jobs.append((r, i, lo, x[lo:reach]))
-            best: dict[tuple[int, int], tuple] = {}
-            jobs.sort(key=lambda j: len(items.words[j[1]]))
-            for a in range(0, len(jobs), 256):
-                some = jobs[a : a + 256]
-                score, end = smith_waterman([items.words[i] for _, i, _, _ in some], [w for *_, w in some])
-                for (r, i, lo, _), s, e in zip(some, score.tolist(), end.tolist()):
-                    share = s / (MATCH * len(items.words[i]))
-                    if share >= threshold:
-                        best[r, i] = max(best.get((r, i), (0.0, 0)), (share, lo + e))
-            found = sorted(best.items())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([ids[r] for (r, _), _ in found], pa.int64()),
-                    pa.array([items.ids[i] for (_, i), _ in found], pa.int64()),
-                    pa.array([s for _, (s, _) in found], pa.float64()),
-                    pa.array([e for _, (_, e) in found], pa.int64()),
-                ],
-                ["doc_id", "item_id", "score", "end_word"],
-            )
+            gone = {r for r, *_ in find(texts)}
+            yield rows.filter(pa.array([r not in gone for r in range(len(texts))], pa.bool_()))
 
     return run
 
@@ -186,22 +215,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, share: float
     document row and item. Null or empty texts on either side match nothing; null ids are passed on; repeated rows are
     rows of their own; empty tables give no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    tests = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text"))
-    blocks = parts_for(tests, "text", BLOCK_MB)
-    schema, out = "doc_id long, item_id long, score double, end_word long", None
-    for block in range(blocks):
-        rows = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        items = Items.of([tuple(r) for r in rows], n)
-        if not len(items.seeds):
-            continue
-        frequency = np.zeros(len(items.seeds), np.int64)
-        for seed, count in slim.select("text").mapInArrow(_count(items), "seed long, n long").groupBy("seed").sum("n").collect():
-            frequency[seed] = count
-        here = slim.mapInArrow(_align(items, _rare(items, frequency, least, share), threshold), schema)
-        out = here if out is None else out.unionByName(here)
-    return spark.createDataFrame([], schema) if out is None else out
+    schema = "doc_id long, item_id long, score double, end_word long"
+    out = docs.sparkSession.createDataFrame([], schema)
+    for find in _blocks(docs, benchmark, n, share, least, threshold):
+        out = out.unionByName(slim.mapInArrow(_align(find), schema))
+    return out
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, share: float = 0.5, least: int = 8, threshold: float = 0.5) -> DataFrame:
+    """The documents, all columns, that hold no copy of a test item; copies are found as in contaminated()."""
+    out = docs
+    for find in _blocks(docs, benchmark, n, share, least, threshold):
+        out = out.mapInArrow(_without(find), docs.schema)
+    return out
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

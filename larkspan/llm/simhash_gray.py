@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspan.llm._keys import KEY, keyed
 from larkspan.llm._shared import components, cut, row_slices, table, text_or_empty
 
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -239,5 +240,108 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, limit: i
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: Fingerprints of a signature, bits of a table's key, and neighbours in Gray order that a row is compared with.
+SIGNATURE, KEY_BITS, NEIGHBOURS = 16, 16, 4
+_SEEDS = np.random.default_rng(64).integers(1, 1 << 63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def signature(text: bytes, shingle: int = 5) -> bytes:
+    """SIGNATURE fingerprints of a text's distinct shingles; no words: zeros."""
+    words = text.lower().split()
+    n = len(words) - shingle + 1
+    if not words:
+        return bytes(8 * SIGNATURE)
+    line = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[: n - 1] + 1]).tolist() if n > 1 else [0]
+    stops = ends[shingle - 1 :].tolist() if n > 1 else [len(line)]
+    digest = xxhash.xxh64_intdigest
+    base = np.unique(np.array([digest(line[a:b], 42) for a, b in zip(starts, stops)], np.uint64))
+    out = []
+    for seed in _SEEDS:
+        x = base * seed
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+        rows = x.view(np.uint8).reshape(-1, 8)
+        out.append(np.packbits(2 * np.concatenate([np.bincount(rows[:, k], minlength=256) @ _BYTE_BITS for k in range(8)]) > len(x), bitorder="little"))
+    return np.concatenate(out).tobytes()
+
+
+def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each fingerprint of a signature under each of its blocks of KEY_BITS bits."""
+    per = 64 // KEY_BITS
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        fps = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(batch.num_rows, SIGNATURE)
+        keys = np.stack([(fps >> np.uint64(KEY_BITS * b)) & np.uint64((1 << KEY_BITS) - 1) for b in range(per)], axis=2).astype(np.int64)
+        keys += (np.arange(SIGNATURE)[None, :, None] * per + np.arange(per)[None, None, :]) << KEY_BITS
+        words = np.repeat(fps[:, :, None], per, axis=2)
+        node = np.repeat(np.asarray(batch.column(0)), SIGNATURE * per)
+        arrays = [keys.ravel(), words.ravel().view(np.int64), _gray_rank(words.ravel()).view(np.int64), node]
+        yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["k", "fp", "rank", "node"])
+
+
+def _neighbours(most: int):
+    """Rows (k, fp, node) in Gray order under each key: pairs of near neighbours whose fingerprints differ in few bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k, fp, node = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            k, fp, node = (np.r_[a, np.asarray(batch.column(i))] for i, a in enumerate((k, fp, node)))
+            us, vs = [], []
+            for d in range(1, NEIGHBOURS + 1):
+                near = (k[d:] == k[:-d]) & (np.bitwise_count((fp[d:] ^ fp[:-d]).view(np.uint64)) <= most)
+                us.append(np.maximum(node[d:][near], node[:-d][near])), vs.append(np.minimum(node[d:][near], node[:-d][near]))
+            pairs = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["u", "v"])
+            k, fp, node = k[-NEIGHBOURS:], fp[-NEIGHBOURS:], node[-NEIGHBOURS:]
+
+    return run
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The documents, all columns, without near copies: of each group the one of smallest doc_id (nulls last, then by a
+    hash of the text) stays.
+
+    Near copies share `similarity` of their distinct `shingle`-word sequences or more (Jaccard). A signature of 1024
+    SimHash bits estimates that: two sets of Jaccard j differ in arccos(2j / (1 + j)) / pi of the bits. Candidates are
+    neighbours in Gray order in 64 tables, each keyed by another 16 bits; at similarity 0.8 a pair misses all of them
+    with a chance below 1 %. Every document is in every table, no key's rows are gathered, and a group of copies is
+    linked by its neighbours, not by all its pairs. Groups are what links reach. Texts of fewer words are one
+    sequence; null and empty texts are one group. Rows with equal id and text are one document. An empty table stays so.
+    """
+    share = np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi
+    local = int(np.ceil(64 * share + 3 * np.sqrt(64 * share * (1 - share))))
+    whole = int(64 * SIGNATURE * share + 0.5 * np.sqrt(64 * SIGNATURE * share * (1 - share)))
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in row_slices(batches, "text"):
+            cols = [rows.column(rows.schema.get_field_index(c)) for c in KEY]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([signature(t, shingle) for t in texts], pa.binary())], [*KEY, "sig"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, SIGNATURE) for i in (2, 3))
+            yield batch.select(["u", "v"]).filter(pa.array(np.bitwise_count(a ^ b).sum(axis=1) <= whole))
+
+    rows = cut(keyed(docs).select(*KEY, "text").mapInArrow(sign, "z boolean, i long, h long, sig binary").withColumn("node", F.xxhash64("sig")))
+    nodes = cut(rows.groupBy("node").agg(F.min(F.struct(*KEY)).alias("rep"), F.min("sig").alias("sig")))
+    dealt = nodes.select("node", "sig").mapInArrow(_tables, "k long, fp long, rank long, node long")
+    sorted_ = dealt.repartition("k").sortWithinPartitions("k", "rank").select("k", "fp", "node")
+    pairs = sorted_.mapInArrow(_neighbours(local), "u long, v long").distinct()
+    sides = [nodes.select(F.col("node").alias(n), F.col("sig").alias(f"s{n}")) for n in ("u", "v")]
+    links = pairs.join(sides[0], "u").join(sides[1], "v").select("u", "v", "su", "sv").mapInArrow(verify, "u long, v long")
+    roots = components(links)
+    named = nodes.select("node", "rep").join(roots, "node", "left")
+    kept = named.groupBy(F.coalesce("root", "node").alias("g")).agg(F.min("rep").alias("rep"))
+    names = [f"{k}__key" for k in KEY]
+    kept = kept.select(*[F.col(f"rep.{k}").alias(n) for k, n in zip(KEY, names)])
+    text = text_or_empty()
+    own = docs.withColumns({names[0]: F.col("doc_id").isNull(), names[1]: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), names[2]: F.xxhash64(text)})
+    return own.join(kept, names, "left_semi").dropDuplicates(names).drop(*names)
+
+
 def op1_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -198,5 +198,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms
     return slim.select("doc_id", _held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, evidence_ids array<long>, evidence_cosines array<double>")
 
 
+def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The documents, all columns, whose score is below the threshold; rows are judged as in toxicity()."""
+    index = docs.sparkSession.sparkContext.broadcast(fit(docs.select("doc_id", text_or_empty().alias("text")), labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = index.value
+        for rows, texts in row_slices(batches, "text"):
+            keep = [model.score(*model.vector(t.decode()), NEIGHBOURS)[0] < threshold for t in texts]
+            yield rows.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
