@@ -104,7 +104,7 @@ def _held_out():
 def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> Index:
     """Learns from labelled rows whose crc32(doc_id) mod 5 is not 0: at most `examples` of each class, by a hash of the
     id. Terms are those whose presence tells most of the label (chi-square); their IDF is of all documents."""
-    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     known = labels.where("doc_id is not null and toxic is not null").where(~_held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("y"))
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     total = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -176,7 +176,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms
     rows; other columns are ignored.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    index = docs.sparkSession.sparkContext.broadcast(fit(slim, labels, examples, terms))
+    index = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, examples, terms))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = index.value, {}
@@ -200,7 +200,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents, all columns, whose score is below the threshold; rows are judged as in toxicity()."""
-    index = docs.sparkSession.sparkContext.broadcast(fit(docs.select("doc_id", text_or_empty().alias("text")), labels))
+    index = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = index.value
