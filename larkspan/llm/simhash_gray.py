@@ -242,6 +242,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, limit: i
 
 #: Fingerprints of a signature, bits of a table's key, and neighbours in Gray order that a row is compared with.
 SIGNATURE, KEY_BITS, NEIGHBOURS = 16, 16, 4
+#: The fingerprints of a signature whose tables each round looks through.
+ROUNDS = (range(0, 1), range(1, 4), range(4, SIGNATURE))
 _SEEDS = np.random.default_rng(64).integers(1, 1 << 63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -268,35 +270,39 @@ def signature(text: bytes, shingle: int = 5) -> bytes:
     return np.concatenate(out).tobytes()
 
 
-def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each fingerprint of a signature under each of its blocks of KEY_BITS bits."""
+def _tables(words: range):
+    """Some of a signature's fingerprints, each under each of its blocks of KEY_BITS bits."""
     per = 64 // KEY_BITS
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        fps = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(batch.num_rows, SIGNATURE)
-        keys = np.stack([(fps >> np.uint64(KEY_BITS * b)) & np.uint64((1 << KEY_BITS) - 1) for b in range(per)], axis=2).astype(np.int64)
-        keys += (np.arange(SIGNATURE)[None, :, None] * per + np.arange(per)[None, None, :]) << KEY_BITS
-        words = np.repeat(fps[:, :, None], per, axis=2)
-        node = np.repeat(np.asarray(batch.column(0)), SIGNATURE * per)
-        arrays = [keys.ravel(), words.ravel().view(np.int64), _gray_rank(words.ravel()).view(np.int64), node]
-        yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["k", "fp", "rank", "node"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fps = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(batch.num_rows, SIGNATURE)[:, words]
+            keys = np.stack([(fps >> np.uint64(KEY_BITS * b)) & np.uint64((1 << KEY_BITS) - 1) for b in range(per)], axis=2).astype(np.int64)
+            keys += (np.array(words)[None, :, None] * per + np.arange(per)[None, None, :]) << KEY_BITS
+            bits = np.repeat(fps[:, :, None], per, axis=2).ravel()
+            node, root = (np.repeat(np.asarray(batch.column(i)), len(words) * per) for i in (0, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in (keys.ravel(), bits.view(np.int64), _gray_rank(bits).view(np.int64), node, root)], ["k", "fp", "rank", "node", "root"])
+
+    return run
 
 
 def _neighbours(most: int):
-    """Rows (k, fp, node) in Gray order under each key: pairs of near neighbours whose fingerprints differ in few bits."""
+    """Rows (k, fp, node, root) in Gray order under each key: near neighbours that are not linked yet and whose fingerprints
+    differ in few bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, fp, node = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        k, fp, node, root = (np.zeros(0, np.int64) for _ in range(4))
         for batch in batches:
-            k, fp, node = (np.r_[a, np.asarray(batch.column(i))] for i, a in enumerate((k, fp, node)))
+            k, fp, node, root = (np.r_[a, np.asarray(batch.column(i))] for i, a in enumerate((k, fp, node, root)))
             us, vs = [], []
             for d in range(1, NEIGHBOURS + 1):
-                near = (k[d:] == k[:-d]) & (np.bitwise_count((fp[d:] ^ fp[:-d]).view(np.uint64)) <= most)
+                near = (k[d:] == k[:-d]) & (root[d:] != root[:-d]) & (np.bitwise_count((fp[d:] ^ fp[:-d]).view(np.uint64)) <= most)
                 us.append(np.maximum(node[d:][near], node[:-d][near])), vs.append(np.minimum(node[d:][near], node[:-d][near]))
             pairs = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["u", "v"])
-            k, fp, node = k[-NEIGHBOURS:], fp[-NEIGHBOURS:], node[-NEIGHBOURS:]
+            k, fp, node, root = (a[-NEIGHBOURS:] for a in (k, fp, node, root))
 
     return run
 
@@ -328,14 +334,16 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
 
     rows = cut(keyed(docs).select(*KEY, "text").mapInArrow(sign, "z boolean, i long, h long, sig binary").withColumn("node", F.xxhash64("sig")))
     nodes = cut(rows.groupBy("node").agg(F.min(F.struct(*KEY)).alias("rep"), F.min("sig").alias("sig")))
-    dealt = nodes.select("node", "sig").mapInArrow(_tables, "k long, fp long, rank long, node long")
-    sorted_ = dealt.repartition("k").sortWithinPartitions("k", "rank").select("k", "fp", "node")
-    pairs = sorted_.mapInArrow(_neighbours(local), "u long, v long").distinct()
     sides = [nodes.select(F.col("node").alias(n), F.col("sig").alias(f"s{n}")) for n in ("u", "v")]
-    links = pairs.join(sides[0], "u").join(sides[1], "v").select("u", "v", "su", "sv").mapInArrow(verify, "u long, v long")
-    roots = components(links)
-    named = nodes.select("node", "rep").join(roots, "node", "left")
-    kept = named.groupBy(F.coalesce("root", "node").alias("g")).agg(F.min("rep").alias("rep"))
+    named, links = nodes.withColumn("root", F.col("node")), None
+    for words in ROUNDS:  # what one round has linked costs the next ones nothing, so large groups give few pairs
+        dealt = named.select("node", "sig", "root").mapInArrow(_tables(words), "k long, fp long, rank long, node long, root long")
+        ordered = dealt.repartition("k").sortWithinPartitions("k", "rank").select("k", "fp", "node", "root")
+        pairs = ordered.mapInArrow(_neighbours(local), "u long, v long").distinct()
+        new = cut(pairs.join(sides[0], "u").join(sides[1], "v").select("u", "v", "su", "sv").mapInArrow(verify, "u long, v long"))
+        links = new if links is None else links.unionByName(new)
+        named = nodes.join(components(links), "node", "left").select("node", "sig", "rep", F.coalesce("root", "node").alias("root"))
+    kept = named.groupBy(F.col("root").alias("g")).agg(F.min("rep").alias("rep"))
     names = [f"{k}__key" for k in KEY]
     kept = kept.select(*[F.col(f"rep.{k}").alias(n) for k, n in zip(KEY, names)])
     text = text_or_empty()
