@@ -8,7 +8,8 @@ one smallest gram travel together as one stretch of text, each window in exactly
    cannot head a repeated window and are dropped, with their text, here.
 2. stretches: each batch sends the distinct stretches under repeated grams to the gram's shard, once for all its copies,
    with the first place of each. A gram with very many places is sent window by window, as 128-bit hashes dealt by hash.
-3. shards sort the windows of their stretches and answer each batch which windows occur elsewhere, or earlier.
+3. each shard indexes its distinct stretches and answers each batch which of their windows occur elsewhere (words: an
+   FM-index, searched backward) or earlier (bytes: suffixes sorted by hash comparison).
 4. each batch marks the units under those windows.
 
 Documents are shuffled once (the same exchange feeds steps 1, 2 and 4), all that a task holds is one batch of documents or one
@@ -25,7 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspan.llm._fm_index import FmIndex
 from larkspan.llm._shared import parts_for, text_or_empty
+from larkspan.llm._suffix_sort import Suffixes
 
 _U = np.uint64
 _RNG = np.random.default_rng(20240229)
@@ -127,7 +130,7 @@ class Spec:
     words: bool
     length: int
     gram: int
-    #: Only windows after the first of their content are marked, not all of them.
+    #: Only windows after the first of their content are marked (of bytes), not all of them (of words).
     later_only: bool
     #: Places of one gram beyond which its windows travel one by one.
     hot: int = HOT
@@ -250,6 +253,8 @@ class _Batch:
     spec: Spec
     grams: np.ndarray
     hot: np.ndarray
+    #: Of each text, the bytes of those before it that have its id.
+    before: np.ndarray
 
     @staticmethod
     def read(left: pa.Table, right: pa.Table, spec: Spec) -> _Batch:
@@ -258,7 +263,10 @@ class _Batch:
         g = np.concatenate([np.frombuffer(a, np.uint64) for a, _ in mine]) if mine else np.zeros(0, np.uint64)
         hot = np.concatenate([np.frombuffer(b, np.uint8) for _, b in mine]) if mine else np.zeros(0, np.uint8)
         order = np.argsort(g)
-        return _Batch(ids, texts, spec, g[order], hot[order].astype(bool))
+        before = [0] * len(ids)
+        for i in range(1, len(ids)):
+            before[i] = before[i - 1] + len(texts[i - 1]) if ids[i] == ids[i - 1] else 0
+        return _Batch(ids, texts, spec, g[order], hot[order].astype(bool), np.array(before, np.int64))
 
     def stretches(self) -> Iterator[tuple[int, Units, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """By slice: first text's number, units, and of each run its first window, count, gram, whether hot, unit hashes."""
@@ -276,9 +284,9 @@ class _Batch:
         return [units.buffer[x:y] for x, y in zip(a.tolist(), b.tolist())]
 
     def places(self, at: int, units: Units, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of windows: the number of their text in the batch, and their place in it."""
+        """Of windows: the number of their text in the batch, and their place in it, after all texts of the same id before it."""
         doc = np.searchsorted(units.doc, first, "right") - 1
-        return at + doc, first - units.doc[doc]
+        return at + doc, first - units.doc[doc] + self.before[at + doc]
 
 
 def _window_hashes(u: np.ndarray, units: Units, spec: Spec) -> tuple[np.ndarray, np.ndarray]:
@@ -339,38 +347,55 @@ def _first_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _equal_classes(units: Units, spec: Spec, starts: np.ndarray) -> np.ndarray:
-    """Class of each window (number of its first equal in `starts`): sorted by the polynomial hash of the whole window,
-    neighbours compared byte by byte. Windows that only share a hash are sorted again by their bytes."""
-    h = grams(units.hashes(), spec.length)[starts]
-    order = np.argsort(h, kind="stable")
-    edge = np.r_[True, h[order][1:] != h[order][:-1]]
-    head = order[np.flatnonzero(edge)[np.cumsum(edge) - 1]]
-    rep = np.empty(len(h), np.int64)
-    rep[order] = head
+    """Class of each window of bytes (number of its first equal in `starts`).
+
+    Windows are held by their smallest gram's first place in them, the anchor: of two equal windows it stands equally far
+    in. Anchors are sorted by what follows them and by what comes before them, backward; windows whose anchor is o bytes
+    in are equal if nothing parts their anchors within length - o bytes ahead or o bytes back.
+    """
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    g = grams(units.hashes(), spec.gram)
+    low = _slide(g, spec.length - spec.gram + 1, np.minimum)[starts]
+    text = np.searchsorted(units.doc, starts, "right") - 1
+    heads = np.repeat(low[np.r_[True, text[1:] != text[:-1]]], np.diff(units.doc)[np.unique(text)])
+    own = np.zeros(units.doc[-1], _U)
+    own[_spread(units.doc[:-1][np.unique(text)], np.diff(units.doc)[np.unique(text)])] = heads
+    place = np.where(own[: len(g)] == g, np.arange(len(g)), len(g))
+    after = np.minimum.accumulate(place[::-1])[::-1]
+    anchor, which = np.unique(after[starts], return_inverse=True)
+    back = anchor[which] - starts
     data = np.frombuffer(units.buffer, np.uint8)
-    other = np.flatnonzero(rep != np.arange(len(rep)))
-    a, b = starts[other], starts[rep[other]]
-    # a window that goes on from an already compared pair of windows differs from it in the last unit alone
-    goes_on = np.r_[False, (a[1:] == a[:-1] + 1) & (b[1:] == b[:-1] + 1)]
-    last = spec.length - 1
-    from_a, from_b = np.where(goes_on, units.start[a + last], units.start[a]), np.where(goes_on, units.start[b + last], units.start[b])
-    size_a, size_b = units.end[a + last] - from_a, units.end[b + last] - from_b
-    wrong = size_a != size_b
-    for part in np.array_split(np.arange(len(other)), max(1, int(size_a.sum() >> 22))):
-        part = part[~wrong[part]]
-        n = size_a[part]
-        inside = _spread(np.zeros(len(part), np.int64), n)
-        differs = data[np.repeat(from_a[part], n) + inside] != data[np.repeat(from_b[part], n) + inside]
-        wrong[part[np.repeat(np.arange(len(part)), n)[differs]]] = True
-    if wrong.any():
-        by_text: dict[bytes, int] = {}
-        bad = np.flatnonzero(np.isin(rep, rep[other[wrong]]))
-        for k in bad.tolist():
-            s = int(starts[k])
-            rep[k] = by_text.setdefault(units.buffer[units.start[s] : units.end[s + last]], k)
+    inside = np.searchsorted(units.doc, anchor, "right") - 1
+    ahead = Suffixes(data, anchor, np.minimum(units.doc[inside + 1] - anchor, spec.length))
+    behind = Suffixes(data[::-1].copy(), len(data) - anchor, np.minimum(anchor - units.doc[inside], spec.length))
+    (order_a, lcp_a), (order_b, lcp_b) = ahead.order(), behind.order()
+    rank_a, rank_b = np.empty_like(order_a), np.empty_like(order_b)
+    rank_a[order_a], rank_b[order_b] = np.arange(len(order_a)), np.arange(len(order_b))
+    rep = np.empty(len(starts), np.int64)
+    by = np.argsort(back, kind="stable")
+    for part in np.split(by, np.flatnonzero(np.diff(back[by])) + 1):
+        o = int(back[part[0]])
+        a, b = np.cumsum(lcp_a < spec.length - o)[rank_a[which[part]]], np.cumsum(lcp_b < o)[rank_b[which[part]]]
+        _, first, group = np.unique(a * (len(anchor) + 1) + b, return_index=True, return_inverse=True)
+        rep[part] = part[first[group]]
     return rep
 
 
+def _repeated_windows(units: Units, spec: Spec, weight: np.ndarray) -> np.ndarray:
+    """Which window starts of texts of words have copies: each text streamed through an FM-index of all of them, where it
+    counts `weight` times."""
+    number: dict[bytes, int] = {}
+    words = [units.buffer[a:b] for a, b in zip(units.start.tolist(), units.end.tolist())]
+    symbols = np.array([number.setdefault(w, len(number) + 1) for w in words], np.int64)
+    size = np.diff(units.doc)
+    start = units.doc[:-1] + np.arange(len(size))  # a 0 closes each text
+    text = np.zeros(len(symbols) + len(size), np.int64)
+    text[_spread(start, size)] = symbols
+    index = FmIndex(text, len(number) + 1, spec.length)
+    return index.repeated(text, start, size, np.repeat(weight, size + 1))[_spread(start, size)]
+
+
 def _answer(spec: Spec) -> Callable:
     """Step 3: a shard's stretches and hot windows -> for each batch, its windows to mark."""
 
@@ -384,22 +409,25 @@ def _answer(spec: Spec) -> Callable:
             size = np.concatenate(sizes)
             joined = b"".join(cols[1][i] for i in cold)
             ends = np.cumsum(size)
-            texts = [joined[a:b] for a, b in zip((ends - size).tolist(), ends.tolist())]
-            units = spec.units(texts)
-            count = np.diff(units.doc) - spec.length + 1
-            starts = _spread(units.doc[:-1], count)
-            owner = np.repeat(np.arange(len(texts)), count)
-            nth = starts - units.doc[owner]
+            distinct: dict[bytes, int] = {}
+            which = np.array([distinct.setdefault(joined[a:b], len(distinct)) for a, b in zip((ends - size).tolist(), ends.tolist())])
             where = [np.frombuffer(cols[4][i], np.int64).reshape(3, -1) for i in cold]
-            doc, place, many = (np.concatenate([x[k] for x in where])[owner] for k in (0, 1, 2))
-            rep = _equal_classes(units, spec, starts)
+            doc, place, many = (np.concatenate([x[k] for x in where]) for k in (0, 1, 2))
+            units = spec.units(list(distinct))
+            each = np.diff(units.doc) - spec.length + 1
+            count = each[which]
+            owner = np.repeat(np.arange(len(which)), count)
+            nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
             if spec.later_only:
-                order = np.lexsort((place + nth, doc, rep))
-                edge = np.r_[True, rep[order][1:] != rep[order][:-1]]
-                mark = np.ones(len(rep), bool)
-                mark[order[edge]] = False
+                rep = _equal_classes(units, spec, _spread(units.doc[:-1], each))[(np.cumsum(each) - each)[which][owner] + nth]
+                # stretches of a document don't share windows, so in their order windows stand as in the table
+                order = np.lexsort((place, doc))
+                order = _spread((np.cumsum(count) - count)[order], count[order])
+                first = np.empty(len(rep), np.int64)
+                first[rep[order[::-1]]] = order[::-1]
+                mark = first[rep] != np.arange(len(rep))
             else:
-                mark = np.bincount(rep, weights=1 + many, minlength=len(rep))[rep] > 1
+                mark = _repeated_windows(units, spec, np.bincount(which, weights=1 + many).astype(np.int64))[units.doc[which][owner] + nth]
             number = np.concatenate([np.frombuffer(cols[3][i], np.uint32) for i in cold])
             source = np.repeat(np.array([cols[0][i] for i in cold]), [len(x) for x in sizes])
             hit = np.flatnonzero(mark)

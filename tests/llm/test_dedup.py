@@ -61,6 +61,13 @@ def test_repeats_of_odd_tables(odd, nothing):
     assert substring_dedup.dedup_words(nothing).count() == 0
 
 
+def test_bytes_of_rows_with_one_id_go_in_the_order_of_their_texts(spark):
+    shared = "".join(f"{k:03d}" for k in range(60))
+    rows = [(1, "a" + "0" * 90 + shared), (1, "b" + shared), (0, "z" + shared[:120])]
+    got = {r.text[:1]: r.n_removed for r in suffix_dedup.dedup_bytes(spark.createDataFrame(rows, "doc_id long, text string"), text=True).collect()}
+    assert got == {"z": 0, "a": 120, "b": 180}
+
+
 def test_equal_hashes_are_told_apart():
     units = _repeats.Units.of_bytes([b"abcabcabd", b"abcabd"])
     spec = _repeats.Spec(False, 3, 1, True)
