@@ -54,11 +54,36 @@ def row_slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8 << 2
                 yield batch.slice(a, b - a), [x or b"" for x in column.slice(a, b - a).to_pylist()]
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+#: Links that one task contracts at a time.
+LINKS = 250_000
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's links -> each of its nodes with the smallest one that the partition's links reach from it."""
+    held = list(batches)
+    sides = [[np.asarray(b.column(i)) for b in held] for i in (0, 1)]
+    if not sides[0]:
+        return
+    nodes, place = np.unique(np.concatenate([*sides[0], *sides[1]]), return_inverse=True)
+    a, b = place[: len(place) // 2], place[len(place) // 2 :]
+    label = np.arange(len(nodes))
+    while len(open_ := np.flatnonzero(label[a] != label[b])):
+        a, b = a[open_], b[open_]
+        x, y = label[a], label[b]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[label[moved]])], ["u", "v"])
+
+
+def components(edges: DataFrame, rounds: int = 40, links: int = LINKS) -> DataFrame:
     """(u, v) links between longs -> (node, root): every linked node with the smallest node it can reach.
 
-    Alternating large-star and small-star passes; each pass only groups and joins on a node, is cut to shared
-    storage, and nothing but two checksums reaches the driver. Self-links and repeats are allowed; no links: no rows.
+    Each pass first contracts the links that lie together, about `links` in a task; once all fit there, that is the
+    answer. Until then alternating large-star and small-star steps bring links of a node together; they only group and
+    join on a node. Passes are cut to shared storage, and nothing but two checksums reaches the driver. Self-links and
+    repeats are allowed; no links: no rows.
     """
     e = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
 
@@ -66,10 +91,13 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         return tuple(x.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
     last = sign(e)
-    if last[0] == 0:
-        return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for _ in range(rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        parts = last[0] // links + 1
+        near = e.coalesce(parts).mapInArrow(_stars, "u long, v long")
+        if parts == 1:
+            e = cut(near)
+            break
+        both = near.unionByName(near.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))

@@ -201,3 +201,18 @@ def test_lines_of_odd_tables(spark, odd, nothing):
     out = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
     assert out[1].text == f"x\n{body}\ny" and out[4].text == "" and out[None].text == "" and out[3].text == "\n\n\n"
     assert out[4].n_lines == 1 and out[4].n_lines__line == 3 and out[4].n_removed == 3
+
+
+@pytest.mark.parametrize("links", [250_000, 40])
+def test_components_match_brute_force(spark, links):
+    from larkspan.llm._shared import components
+
+    rng = np.random.default_rng(8)
+    edges = [(k, k + 1) for k in range(100, 160)] + [tuple(map(int, x)) for x in rng.integers(-90, 90, (60, 2))] + [(7, 7), (100, 101)]
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for u, v in edges:
+            root[u] = root[v] = min(root[u], root[v])
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long").repartition(5), links=links).collect()}
+    assert {x: got.get(x, x) for x in root} == root
+    assert components(spark.createDataFrame([], "u long, v long"), links=links).count() == 0
