@@ -240,10 +240,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, limit: i
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Fingerprints of a signature, bits of a table's key, and neighbours in Gray order that a row is compared with.
-SIGNATURE, KEY_BITS, NEIGHBOURS = 16, 16, 4
-#: The fingerprints of a signature whose tables each round looks through.
-ROUNDS = (range(0, 1), range(1, 4), range(4, SIGNATURE))
+#: Fingerprints of a signature, bits of a table's key, and further fingerprints that neighbours are compared by at once.
+SIGNATURE, KEY_BITS, MORE = 16, 16, 5
+#: The fingerprints of a signature whose tables each round looks through, and how many neighbours in Gray order it compares.
+ROUNDS = ((range(0, 1), 2), (range(1, 4), 8), (range(4, SIGNATURE), 32))
 _SEEDS = np.random.default_rng(64).integers(1, 1 << 63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -270,39 +270,54 @@ def signature(text: bytes, shingle: int = 5) -> bytes:
     return np.concatenate(out).tobytes()
 
 
+#: Columns of the tables: key, fingerprint, further ones, signature, and root of its group so far.
+TABLE = ["k", "fp", *(f"m{m}" for m in range(MORE)), "node", "root"]
+
+
 def _tables(words: range):
-    """Some of a signature's fingerprints, each under each of its blocks of KEY_BITS bits."""
+    """Some of a signature's fingerprints, each under each of its blocks of KEY_BITS bits, with MORE others for comparison."""
     per = 64 // KEY_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            fps = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(batch.num_rows, SIGNATURE)[:, words]
+            all_ = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(batch.num_rows, SIGNATURE)
+            fps = all_[:, words]
             keys = np.stack([(fps >> np.uint64(KEY_BITS * b)) & np.uint64((1 << KEY_BITS) - 1) for b in range(per)], axis=2).astype(np.int64)
             keys += (np.array(words)[None, :, None] * per + np.arange(per)[None, None, :]) << KEY_BITS
-            bits = np.repeat(fps[:, :, None], per, axis=2).ravel()
+            others = [all_[:, [(w + m * SIGNATURE // (MORE + 1)) % SIGNATURE for w in words]] for m in range(MORE + 1)]
+            bits = [np.repeat(x[:, :, None], per, axis=2).ravel().view(np.int64) for x in others]
             node, root = (np.repeat(np.asarray(batch.column(i)), len(words) * per) for i in (0, 2))
-            yield pa.RecordBatch.from_arrays([pa.array(a) for a in (keys.ravel(), bits.view(np.int64), _gray_rank(bits).view(np.int64), node, root)], ["k", "fp", "rank", "node", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in (keys.ravel(), *bits, node, root)], TABLE)
 
     return run
 
 
-def _neighbours(most: int):
-    """Rows (k, fp, node, root) in Gray order under each key: near neighbours that are not linked yet and whose fingerprints
-    differ in few bits."""
+def _neighbours(most: int, reach: int):
+    """Rows of a table in Gray order under each key: neighbours up to `reach` rows away that are not linked yet and whose
+    fingerprints differ in few bits together, with their roots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, fp, node, root = (np.zeros(0, np.int64) for _ in range(4))
+        held = [np.zeros(0, np.int64) for _ in TABLE]
         for batch in batches:
-            k, fp, node, root = (np.r_[a, np.asarray(batch.column(i))] for i, a in enumerate((k, fp, node, root)))
-            us, vs = [], []
-            for d in range(1, NEIGHBOURS + 1):
-                near = (k[d:] == k[:-d]) & (root[d:] != root[:-d]) & (np.bitwise_count((fp[d:] ^ fp[:-d]).view(np.uint64)) <= most)
-                us.append(np.maximum(node[d:][near], node[:-d][near])), vs.append(np.minimum(node[d:][near], node[:-d][near]))
-            pairs = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["u", "v"])
-            k, fp, node, root = (a[-NEIGHBOURS:] for a in (k, fp, node, root))
+            seen = len(held[0])
+            held = [np.r_[a, np.asarray(batch.column(i))] for i, a in enumerate(held)]
+            k, *bits, node, root = held
+            found = []
+            for d in range(1, reach + 1):
+                j = np.arange(max(d, seen), len(k))
+                j = j[k[j] == k[j - d]]
+                if not len(j):
+                    break
+                j = j[root[j] != root[j - d]]
+                j = j[sum(np.bitwise_count((x[j] ^ x[j - d]).view(np.uint64)).astype(np.int64) for x in bits) <= most]
+                found.append(np.stack([node[j], node[j - d], root[j], root[j - d]]))
+            if found:
+                x = np.concatenate(found, axis=1)
+                x = np.unique(np.where(x[0] > x[1], x, x[[1, 0, 3, 2]]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(c.copy()) for c in x], ["u", "v", "ru", "rv"])
+            held = [a[-reach:] for a in held]
 
     return run
 
@@ -313,13 +328,15 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
 
     Near copies share `similarity` of their distinct `shingle`-word sequences or more (Jaccard). A signature of 1024
     SimHash bits estimates that: two sets of Jaccard j differ in arccos(2j / (1 + j)) / pi of the bits. Candidates are
-    neighbours in Gray order in 64 tables, each keyed by another 16 bits; at similarity 0.8 a pair misses all of them
-    with a chance below 1 %. Every document is in every table, no key's rows are gathered, and a group of copies is
-    linked by its neighbours, not by all its pairs. Groups are what links reach. Texts of fewer words are one
+    neighbours in Gray order in 64 tables, each keyed by another 16 bits; while a key has up to 32 signatures, a pair of
+    similarity 0.8 misses all of them with a chance below 1 %; beyond that closer pairs are found first. Every document is
+    in every table, no key's rows are gathered, and a group of copies is linked by its neighbours, not by all its pairs.
+    Groups are what links reach. Texts of fewer words are one
     sequence; null and empty texts are one group. Rows with equal id and text are one document. An empty table stays so.
     """
     share = np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi
-    local = int(np.ceil(64 * share + 3 * np.sqrt(64 * share * (1 - share))))
+    some = 64 * (MORE + 1)
+    local = int(np.ceil(some * share + 2.5 * np.sqrt(some * share * (1 - share))))
     whole = int(64 * SIGNATURE * share + 0.5 * np.sqrt(64 * SIGNATURE * share * (1 - share)))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,19 +347,19 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, SIGNATURE) for i in (2, 3))
-            yield batch.select(["u", "v"]).filter(pa.array(np.bitwise_count(a ^ b).sum(axis=1) <= whole))
+            yield batch.select(["ru", "rv"]).filter(pa.array(np.bitwise_count(a ^ b).sum(axis=1) <= whole))
 
     rows = cut(keyed(docs).select(*KEY, "text").mapInArrow(sign, "z boolean, i long, h long, sig binary").withColumn("node", F.xxhash64("sig")))
     nodes = cut(rows.groupBy("node").agg(F.min(F.struct(*KEY)).alias("rep"), F.min("sig").alias("sig")))
     sides = [nodes.select(F.col("node").alias(n), F.col("sig").alias(f"s{n}")) for n in ("u", "v")]
-    named, links = nodes.withColumn("root", F.col("node")), None
-    for words in ROUNDS:  # what one round has linked costs the next ones nothing, so large groups give few pairs
-        dealt = named.select("node", "sig", "root").mapInArrow(_tables(words), "k long, fp long, rank long, node long, root long")
-        ordered = dealt.repartition("k").sortWithinPartitions("k", "rank").select("k", "fp", "node", "root")
-        pairs = ordered.mapInArrow(_neighbours(local), "u long, v long").distinct()
-        new = cut(pairs.join(sides[0], "u").join(sides[1], "v").select("u", "v", "su", "sv").mapInArrow(verify, "u long, v long"))
-        links = new if links is None else links.unionByName(new)
-        named = nodes.join(components(links), "node", "left").select("node", "sig", "rep", F.coalesce("root", "node").alias("root"))
+    named = nodes.withColumn("root", F.col("node"))
+    for words, reach in ROUNDS:  # what one round has linked costs the next ones nothing, so large groups give few pairs
+        dealt = named.select("node", "sig", "root").mapInArrow(_tables(words), ", ".join(f"{c} long" for c in TABLE))
+        ordered = dealt.repartition("k").sortWithinPartitions("k", _rank_column())
+        pairs = ordered.mapInArrow(_neighbours(local, reach), "u long, v long, ru long, rv long").distinct()
+        new = pairs.join(sides[0], "u").join(sides[1], "v").select("ru", "rv", "su", "sv").mapInArrow(verify, "u long, v long")
+        merged = components(new).select(F.col("node").alias("root"), F.col("root").alias("to"))
+        named = named.join(merged, "root", "left").select("node", "sig", "rep", F.coalesce("to", "root").alias("root"))
     kept = named.groupBy(F.col("root").alias("g")).agg(F.min("rep").alias("rep"))
     names = [f"{k}__key" for k in KEY]
     kept = kept.select(*[F.col(f"rep.{k}").alias(n) for k, n in zip(KEY, names)])
