@@ -26,17 +26,19 @@ def words(text: str) -> list[str]:
 
 @dataclass
 class Items:
-    """A block of test items: ids, words as numbers from 1, and their distinct seeds of up to `n` words."""
+    """A block of test items: ids, words as numbers from 1, and their seeds: pairs of neighbouring words, or single
+    words where pairs are not sure to be in every alignment that counts."""
 
     ids: list
     words: list[np.ndarray]
     vocabulary: dict[str, int]
-    n: int
+    threshold: float
     seeds: np.ndarray  # sorted keys
-    owner: list[np.ndarray]  # of each item, the numbers of its seeds
+    owner: list[np.ndarray]  # of each item, the number of the seed at each of its places
+    sure: list[int]  # of each item, how many of these places an alignment that reaches the threshold holds at least
 
     @staticmethod
-    def of(rows: list[tuple[int, str]], n: int) -> Items:
+    def of(rows: list[tuple[int, str]], threshold: float) -> Items:
         vocabulary: dict[str, int] = {}
         ids, texts = [], []
         for item, text in rows:
@@ -44,38 +46,44 @@ class Items:
             if found:
                 ids.append(item)
                 texts.append(np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in found], np.int64))
-        keys = [_keys(t, len(vocabulary), min(n, len(t))) for t in texts]
+        keys, sure = [], []
+        for t in texts:
+            # k matches with d edits score 2k - d. For a threshold of a half, 2k - d >= k + (item words passed over), so of
+            # the k - 1 steps between matches a third of the item less one go to the item's next word over one word of
+            # the text at most (five words or more; in shorter items and for lower thresholds only matches are sure)
+            paired = threshold >= 0.5 and len(t) >= 5
+            keys.append(_keys(t[:-1], t[1:]) if paired else _keys(t))
+            sure.append(max(1, -(-len(t) // 3) - 1) if paired else least_matches(len(t), threshold))
         seeds = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
-        return Items(ids, texts, vocabulary, n, seeds, [np.unique(np.searchsorted(seeds, k)) for k in keys])
+        return Items(ids, texts, vocabulary, threshold, seeds, [np.searchsorted(seeds, k) for k in keys], sure)
 
     def numbers(self, text: str) -> np.ndarray:
         found = words(text)
         return np.fromiter(map(self.vocabulary.get, found, repeat(0)), np.int64, len(found))
 
-    def sizes(self) -> list[int]:
-        return sorted({min(self.n, len(t)) for t in self.words})
-
     def hits(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of seeds among a text's words, and the seeds' numbers."""
+        """Places of seeds among a text's words, and the seeds' numbers; between a pair's words one other may stand."""
         at, which = [], []
-        for n in self.sizes():
-            if len(x) < n:
-                continue
-            known = x > 0
-            full = np.flatnonzero(np.logical_and.reduce([known[i : len(x) - n + 1 + i] for i in range(n)]))
-            keys = _keys(x, len(self.vocabulary), n, full)
+        known = x > 0
+        for step in (0, 1, 2):
+            full = np.flatnonzero(known[: len(x) - step] & known[step:]) if len(x) > step else np.zeros(0, np.int64)
+            keys = _keys(x[full], x[full + step]) if step else _keys(x[full])
             k = np.minimum(np.searchsorted(self.seeds, keys), len(self.seeds) - 1)
             same = self.seeds[k] == keys
             at.append(full[same]), which.append(k[same])
-        return (np.concatenate(at), np.concatenate(which)) if at else (np.zeros(0, np.int64),) * 2
+        return np.concatenate(at), np.concatenate(which)
+
+
+def least_matches(size: int, threshold: float) -> int:
+    """Matches that an alignment of score `threshold` or more has at least."""
+    return max(1, int(np.ceil(size * threshold - 1e-9)))
 
 
-def _keys(x: np.ndarray, size: int, n: int, at: np.ndarray | None = None) -> np.ndarray:
-    """Keys of n-grams: mixed so that up to three words of two million are exact, and longer ones are hashes."""
-    at = np.arange(len(x) - n + 1) if at is None else at
-    out = np.full(len(at), n, np.uint64)
-    for i in range(n):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + x[at + i].astype(np.uint64)
+def _keys(*columns: np.ndarray) -> np.ndarray:
+    """Keys of rows of words: mixed so that up to three words of two million are exact, and longer ones are hashes."""
+    out = np.full(len(columns[0]), len(columns), np.uint64)
+    for x in columns:
+        out = out * np.uint64(0x9E3779B97F4A7C15) + x.astype(np.uint64)
         out ^= out >> np.uint64(29)
     return out.view(np.int64)
 
@@ -120,12 +128,13 @@ def _count(items: Items):
     return run
 
 
-def _rare(items: Items, frequency: np.ndarray, least: int, share: float) -> dict[int, list[int]]:
-    """Seed -> items: of each item its rarer share of seeds, `least` at least. Ranked within the item, so an item that
-    has leaked everywhere keeps its seeds."""
+def _rare(items: Items, frequency: np.ndarray) -> dict[int, list[int]]:
+    """Seed -> items: of each item its rarest seeds that occur, without as many of the commonest places as leave none of
+    the alignments that count without a seed. Ranked within the item, so an item that has leaked everywhere keeps its seeds."""
     out: dict[int, list[int]] = {}
-    for i, own in enumerate(items.owner):
-        for k in own[np.argsort(frequency[own], kind="stable")[: max(least, int(len(own) * share))]].tolist():
+    for i, (own, sure) in enumerate(zip(items.owner, items.sure)):
+        ranked = own[np.argsort(frequency[own], kind="stable")[: len(own) - sure + 1]]
+        for k in np.unique(ranked[frequency[ranked] > 0]).tolist():
             out.setdefault(k, []).append(i)
     return out
 
@@ -133,8 +142,10 @@ def _rare(items: Items, frequency: np.ndarray, least: int, share: float) -> dict
 class _Finder:
     """Looks for a block's items in texts."""
 
-    def __init__(self, items: Items, seeds: dict[int, list[int]], threshold: float) -> None:
-        self.items, self.seeds, self.threshold = items, seeds, threshold
+    def __init__(self, items: Items, seeds: dict[int, list[int]]) -> None:
+        self.items, self.seeds, self.threshold = items, seeds, items.threshold
+        self.lists = [t.tolist() for t in items.words]
+        self.least = [least_matches(len(t), items.threshold) for t in items.words]
         self.chosen = np.zeros(len(items.seeds) + 1, bool)
         self.chosen[list(seeds)] = True
 
@@ -153,10 +164,13 @@ class _Finder:
                     places.setdefault(i, []).append(p)
             for i, found in places.items():
                 m, reach = len(items.words[i]), -1
-                for p in sorted(found):  # hits near each other share a window, of about four item lengths
-                    if p + m > reach:
-                        lo, reach = max(0, p - m - m // 4), p + 3 * m
-                        jobs.append((r, i, lo, x[lo:reach]))
+                span = 3 * m - int(2 * m * self.threshold)  # words of the text that an alignment may take up
+                for p in sorted(found):  # hits near each other share a window, of about five item lengths
+                    if p + span > reach:
+                        lo, reach = max(0, p - span), p + span + m
+                        there = set(x[lo:reach].tolist())
+                        if sum(map(there.__contains__, self.lists[i])) >= self.least[i]:
+                            jobs.append((r, i, lo, x[lo:reach]))
         best: dict[tuple[int, int], tuple[float, int]] = {}
         jobs.sort(key=lambda j: len(items.words[j[1]]))
         for a in range(0, len(jobs), 256):
@@ -169,20 +183,20 @@ class _Finder:
         return [(r, i, s, e) for (r, i), (s, e) in sorted(best.items())]
 
 
-def _blocks(docs: DataFrame, benchmark: DataFrame, n: int, share: float, least: int, threshold: float) -> Iterator[_Finder]:
+def _blocks(docs: DataFrame, benchmark: DataFrame, threshold: float) -> Iterator[_Finder]:
     """A finder for each block of test items; seeds are ranked by their count in all documents."""
     tests = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text"))
     texts = docs.select(text_or_empty().alias("text"))
     blocks = parts_for(tests, "text", BLOCK_MB)
     for block in range(blocks):
         rows = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        items = Items.of([tuple(r) for r in rows], n)
+        items = Items.of([tuple(r) for r in rows], threshold)
         if not len(items.seeds):
             continue
         frequency = np.zeros(len(items.seeds), np.int64)
         for seed, count in texts.mapInArrow(_count(items), "seed long, n long").groupBy("seed").sum("n").collect():
             frequency[seed] = count
-        yield _Finder(items, _rare(items, frequency, least, share), threshold)
+        yield _Finder(items, _rare(items, frequency))
 
 
 def _align(find: _Finder):
@@ -205,11 +219,13 @@ def _without(find: _Finder):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, share: float = 0.5, least: int = 8, threshold: float = 0.5) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(doc_id, text, ...), (item_id, text, ...) -> (doc_id, item_id, score, end_word): documents that hold a copy of a test item.
 
-    Words are lower-cased runs of letters, digits and _. Seeds are an item's `n`-word sequences (all its words, if it
-    has fewer) in the rarer `share` of them by their count in all documents. Around each seed the item is aligned
+    Words are lower-cased runs of letters, digits and _. Seeds are pairs of an item's neighbouring words, in the text next
+    to each other or with one word between (single words for items of under five words, and for thresholds under a half),
+    without the commonest by their count in all documents: so few that every alignment that reaches the threshold holds
+    one that is left. Around each seed the item is aligned
     (+2, -1, -1); score is the best alignment's share of a full match and is at least the threshold; end_word is
     where that ends. The test items are taken in blocks of bounded size, each against all rows; one row for each
     document row and item. Null or empty texts on either side match nothing; null ids are passed on; repeated rows are
@@ -218,15 +234,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, share: float
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     schema = "doc_id long, item_id long, score double, end_word long"
     out = docs.sparkSession.createDataFrame([], schema)
-    for find in _blocks(docs, benchmark, n, share, least, threshold):
+    for find in _blocks(docs, benchmark, threshold):
         out = out.unionByName(slim.mapInArrow(_align(find), schema))
     return out
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, share: float = 0.5, least: int = 8, threshold: float = 0.5) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents, all columns, that hold no copy of a test item; copies are found as in contaminated()."""
     out = docs
-    for find in _blocks(docs, benchmark, n, share, least, threshold):
+    for find in _blocks(docs, benchmark, threshold):
         out = out.mapInArrow(_without(find), docs.schema)
     return out
 
