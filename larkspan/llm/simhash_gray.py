@@ -244,6 +244,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, limit: i
 SIGNATURE, KEY_BITS, MORE = 16, 16, 5
 #: The fingerprints of a signature whose tables each round looks through, and how many neighbours in Gray order it compares.
 ROUNDS = ((range(0, 1), 2), (range(1, 4), 8), (range(4, SIGNATURE), 32))
+#: Bits of the filter that picks texts to verify.
+FILTER_BITS = 1 << 25
 _SEEDS = np.random.default_rng(64).integers(1, 1 << 63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -322,32 +324,73 @@ def _neighbours(most: int, reach: int):
     return run
 
 
+def shingles(text: bytes, shingle: int = 5) -> set[bytes]:
+    """A text's distinct sequences of `shingle` words; one of all its words, if it has fewer."""
+    words = text.lower().split()
+    return {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
+
+
+def _alike(shingle: int, similarity: float):
+    """(ru, rv, tu, tv) -> (ru, rv): the pairs of texts whose Jaccard similarity reaches the limit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple = (None, set())
+        for batch in batches:
+            keep = []
+            for u, v in zip(batch.column(2), batch.column(3)):
+                u, v = u.as_py().encode(), v.as_py().encode()
+                last = last if last[0] == u else (u, shingles(u, shingle))
+                a, b = last[1], shingles(v, shingle)
+                both = len(a & b)
+                keep.append(both >= similarity * (len(a) + len(b) - both) - 1e-9)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _texts_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, text) of the nodes in pairs. A bit filter over the hashes of texts keeps most others out of the shuffle."""
+    named = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    named = cut(named.join(nodes.select("node", "rep.*"), "node"))
+    slots = np.asarray(named.select(F.pmod("h", F.lit(FILTER_BITS)).alias("b")).distinct().toArrow().column(0).combine_chunks())
+    there = np.zeros(FILTER_BITS, bool)
+    there[slots] = True
+    packed, bits = np.packbits(there, bitorder="little"), FILTER_BITS
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b = np.asarray(batch.column(2)) % bits
+            yield batch.filter(pa.array((packed[b >> 3] >> (b & 7).astype(np.uint8)) & 1 == 1))
+
+    slim = keyed(docs).select(*KEY, "text").mapInArrow(some, "z boolean, i long, h long, text string")
+    return cut(slim.join(named, KEY).select("node", "text").dropDuplicates(["node"]))
+
+
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents, all columns, without near copies: of each group the one of smallest doc_id (nulls last, then by a
     hash of the text) stays.
 
-    Near copies share `similarity` of their distinct `shingle`-word sequences or more (Jaccard). A signature of 1024
-    SimHash bits estimates that: two sets of Jaccard j differ in arccos(2j / (1 + j)) / pi of the bits. Candidates are
-    neighbours in Gray order in 64 tables, each keyed by another 16 bits; while a key has up to 32 signatures, a pair of
-    similarity 0.8 misses all of them with a chance below 1 %; beyond that closer pairs are found first. Every document is
-    in every table, no key's rows are gathered, and a group of copies is linked by its neighbours, not by all its pairs.
+    Near copies share `similarity` of their distinct `shingle`-word sequences or more (Jaccard); every link is decided by
+    the texts' own sequences. Candidates come from a signature of 1024 SimHash bits, in which two sets of Jaccard j differ
+    in arccos(2j / (1 + j)) / pi of the bits (at 0.8, sets of four and five in 3/16): rows that agree on one of 64 tables'
+    16-bit keys are compared with up to 32 neighbours in Gray order, and go on if they differ by up to three deviations
+    more. Texts of equal signature are taken as copies. Every document is in every table.
     Groups are what links reach. Texts of fewer words are one
     sequence; null and empty texts are one group. Rows with equal id and text are one document. An empty table stays so.
     """
     share = np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi
-    some = 64 * (MORE + 1)
-    local = int(np.ceil(some * share + 2.5 * np.sqrt(some * share * (1 - share))))
-    whole = int(64 * SIGNATURE * share + 0.5 * np.sqrt(64 * SIGNATURE * share * (1 - share)))
+    share = max(share, 3 / 16)
+    local, whole = (int(np.ceil(n * share + 3 * np.sqrt(n * share * (1 - share)))) for n in (64 * (MORE + 1), 64 * SIGNATURE))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in row_slices(batches, "text"):
             cols = [rows.column(rows.schema.get_field_index(c)) for c in KEY]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([signature(t, shingle) for t in texts], pa.binary())], [*KEY, "sig"])
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, SIGNATURE) for i in (2, 3))
-            yield batch.select(["ru", "rv"]).filter(pa.array(np.bitwise_count(a ^ b).sum(axis=1) <= whole))
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, SIGNATURE) for i in (4, 5))
+            yield batch.select(["u", "v", "ru", "rv"]).filter(pa.array(np.bitwise_count(a ^ b).sum(axis=1) <= whole))
 
     rows = cut(keyed(docs).select(*KEY, "text").mapInArrow(sign, "z boolean, i long, h long, sig binary").withColumn("node", F.xxhash64("sig")))
     nodes = cut(rows.groupBy("node").agg(F.min(F.struct(*KEY)).alias("rep"), F.min("sig").alias("sig")))
@@ -357,7 +400,12 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
         dealt = named.select("node", "sig", "root").mapInArrow(_tables(words), ", ".join(f"{c} long" for c in TABLE))
         ordered = dealt.repartition("k").sortWithinPartitions("k", _rank_column())
         pairs = ordered.mapInArrow(_neighbours(local, reach), "u long, v long, ru long, rv long").distinct()
-        new = pairs.join(sides[0], "u").join(sides[1], "v").select("ru", "rv", "su", "sv").mapInArrow(verify, "u long, v long")
+        signed = pairs.join(sides[0], "u").join(sides[1], "v").select("u", "v", "ru", "rv", "su", "sv")
+        pairs = cut(signed.mapInArrow(close, "u long, v long, ru long, rv long"))
+        texts = _texts_of(docs, nodes, pairs)
+        faced = pairs.join(texts.select(F.col("node").alias("v"), F.col("text").alias("tv")), "v")
+        faced = faced.join(texts.select(F.col("node").alias("u"), F.col("text").alias("tu")), "u")
+        new = faced.select("ru", "rv", "tu", "tv").mapInArrow(_alike(shingle, similarity), "ru long, rv long").toDF("u", "v")
         merged = components(new).select(F.col("node").alias("root"), F.col("root").alias("to"))
         named = named.join(merged, "root", "left").select("node", "sig", "rep", F.coalesce("to", "root").alias("root"))
     kept = named.groupBy(F.col("root").alias("g")).agg(F.min("rep").alias("rep"))
