@@ -242,10 +242,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, limit: i
 
 #: Fingerprints of a signature, bits of a table's key, and further fingerprints that neighbours are compared by at once.
 SIGNATURE, KEY_BITS, MORE = 16, 16, 5
-#: The fingerprints of a signature whose tables each round looks through, and how many neighbours in Gray order it compares.
-ROUNDS = ((range(0, 1), 2), (range(1, 4), 8), (range(4, SIGNATURE), 32))
-#: Bits of the filter that picks texts to verify.
-FILTER_BITS = 1 << 25
+#: The fingerprints of a signature whose tables each round looks through, and how many neighbours in Gray order it compares
+#: (None: all rows of a key). The first rounds only link large groups early; the last one searches every table whole.
+ROUNDS = ((range(0, 1), 2), (range(1, 4), 8), (range(0, SIGNATURE), None))
+#: Pairs of rows that are compared at a time, and bits of the filter that picks texts to verify.
+PAIRS, FILTER_BITS = 1 << 18, 1 << 25
 _SEEDS = np.random.default_rng(64).integers(1, 1 << 63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -324,6 +325,54 @@ def _neighbours(most: int, reach: int):
     return run
 
 
+def _across(most: int):
+    """Rows of a table sorted by key and root: all pairs of a key with different roots whose fingerprints differ in few bits."""
+
+    def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        k, *bits, node, root = rows
+        order = np.arange(len(k))
+        same = np.r_[k[1:] == k[:-1], False]
+        ends = np.flatnonzero(~same) + 1
+        end = ends[np.searchsorted(ends, order, side="right")]
+        turns = np.flatnonzero(np.r_[~(same[:-1] & (root[1:] == root[:-1])), True]) + 1
+        start = turns[np.searchsorted(turns, order, side="right")]  # first row of the key's next root
+        width = np.maximum(end - start, 0)
+        total = np.cumsum(width)
+        for a in range(0, int(total[-1]), PAIRS):
+            # the pairs numbered a and up, row by row: a row with very many is cut as well
+            number = np.arange(a, min(a + PAIRS, int(total[-1])))
+            i = np.searchsorted(total, number, side="right")
+            j = start[i] + number - (total[i] - width[i])
+            far = np.bitwise_count((bits[0][i] ^ bits[0][j]).view(np.uint64)).astype(np.int64)
+            for x in bits[1:]:
+                near = far <= most
+                i, j, far = i[near], j[near], far[near]
+                far = far + np.bitwise_count((x[i] ^ x[j]).view(np.uint64))
+            i, j = i[far <= most], j[far <= most]
+            if len(i):
+                x = np.stack([node[i], node[j], root[i], root[j]])
+                x = np.unique(np.where(x[0] > x[1], x, x[[1, 0, 3, 2]]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(c.copy()) for c in x], ["u", "v", "ru", "rv"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [np.asarray(batch.column(i)) for i in range(len(TABLE))]
+            at = int(np.searchsorted(now[0], now[0][-1]))  # rows of the last key wait for the rest of it
+            if held and (at or held[-1][0][-1] != now[0][0]):
+                yield from pairs([np.concatenate(c) for c in zip(*held, [x[:at] for x in now])])
+                held = []
+            elif at:
+                yield from pairs([x[:at] for x in now])
+            held.append([x[at:] for x in now])
+        if held:
+            yield from pairs([np.concatenate(c) for c in zip(*held)])
+
+    return run
+
+
 def shingles(text: bytes, shingle: int = 5) -> set[bytes]:
     """A text's distinct sequences of `shingle` words; one of all its words, if it has fewer."""
     words = text.lower().split()
@@ -373,8 +422,9 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     Near copies share `similarity` of their distinct `shingle`-word sequences or more (Jaccard); every link is decided by
     the texts' own sequences. Candidates come from a signature of 1024 SimHash bits, in which two sets of Jaccard j differ
     in arccos(2j / (1 + j)) / pi of the bits (at 0.8, sets of four and five in 3/16): rows that agree on one of 64 tables'
-    16-bit keys are compared with up to 32 neighbours in Gray order, and go on if they differ by up to three deviations
-    more. Texts of equal signature are taken as copies. Every document is in every table.
+    16-bit keys are compared, all of them with different roots, and go on if they differ by up to three deviations more. A
+    pair of similarity 0.8 agrees on no key with a chance of about 1 %, at any size of the table. Texts of equal signature
+    are taken as copies. Every document is in every table; a group that early rounds have linked is not compared with itself.
     Groups are what links reach. Texts of fewer words are one
     sequence; null and empty texts are one group. Rows with equal id and text are one document. An empty table stays so.
     """
@@ -398,8 +448,9 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     named = nodes.withColumn("root", F.col("node"))
     for words, reach in ROUNDS:  # what one round has linked costs the next ones nothing, so large groups give few pairs
         dealt = named.select("node", "sig", "root").mapInArrow(_tables(words), ", ".join(f"{c} long" for c in TABLE))
-        ordered = dealt.repartition("k").sortWithinPartitions("k", _rank_column())
-        pairs = ordered.mapInArrow(_neighbours(local, reach), "u long, v long, ru long, rv long").distinct()
+        order, search = (["root"], _across(local)) if reach is None else ([_rank_column()], _neighbours(local, reach))
+        ordered = dealt.repartition("k").sortWithinPartitions("k", *order)
+        pairs = ordered.mapInArrow(search, "u long, v long, ru long, rv long").distinct()
         signed = pairs.join(sides[0], "u").join(sides[1], "v").select("u", "v", "ru", "rv", "su", "sv")
         pairs = cut(signed.mapInArrow(close, "u long, v long, ru long, rv long"))
         texts = _texts_of(docs, nodes, pairs)

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+
 from larkspan.llm import simhash_gray
 
 
@@ -16,3 +19,22 @@ def test_links_are_decided_by_exact_similarity(spark):
     assert 240 < len(want) < 480
     kept = {r.doc_id for r in simhash_gray.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert not want - kept and len(kept - want) <= 6  # no key in common: about 1 % of the pairs at the limit
+
+
+def test_crowded_keys_are_searched_whole():
+    rng = np.random.default_rng(2)
+    n = 700
+    k = np.sort(rng.integers(0, 3, n))
+    bits = rng.integers(0, 1 << 62, (simhash_gray.MORE + 1, n))
+    root = rng.integers(0, 600, n)
+    bits[:, 5], bits[:, 190] = 1, 2
+    k[:200], root[5], root[190] = 0, 1, 599  # far apart under one key
+    k.sort()
+    order = np.lexsort((root, k))
+    table = [k[order], *(x[order] for x in bits), np.arange(n)[order], root[order]]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[a : a + 37]) for c in table], simhash_gray.TABLE) for a in range(0, n, 37)]
+    for most in (12, 185):
+        got = {(u, v) for b in simhash_gray._across(most)(iter(batches)) for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+        far = np.array([[sum(int(x[i] ^ x[j]).bit_count() for x in bits) for j in range(n)] for i in range(n)]) if most == 12 else far
+        assert got == {(i, j) for i in range(n) for j in range(i) if k[i] == k[j] and root[i] != root[j] and far[i, j] <= most}
+        assert (190, 5) in got
