@@ -28,7 +28,7 @@ def repeated_runs(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, long:
 
     Each selected gram is matched with its first place in the table (smallest doc_id, then hash of the text, then line)
     and the match is extended both ways over equal lines, compared by their hashes, so no pairs of copies are made. With
-    `long`, every line of so many characters that occurs earlier is a run as it stands.
+    `long`, every gram, selected or not, and every line of so many characters that occurs earlier is a run as it stands.
     """
     lines = F.split("text", "\n", -1)
     hashes = F.transform(lines, lambda x: F.xxhash64(x))
@@ -44,7 +44,7 @@ def repeated_runs(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, long:
     if long:
         every = F.transform(F.col("g"), lambda g, p: place(g, p + 1, gram, F.array_contains("s", p + 1)))
         alone = F.transform(F.col("l"), lambda x, p: place(F.xxhash64(x, F.lit("line")), p + 1, 1, F.lit(False)))
-        places = F.concat(F.filter(every, lambda x: x["s"] & full(x["at"])), F.filter(alone, lambda x: F.element_at("o", x["at"])))
+        places = F.concat(F.filter(every, lambda x: full(x["at"])), F.filter(alone, lambda x: F.element_at("o", x["at"])))
     else:
         places = F.transform(F.filter("s", full), lambda at: place(F.element_at("g", at), at, gram, F.lit(True)))
     picked = grams.select(*KEY, F.explode(places).alias("p")).select(*KEY, "p.*")
@@ -72,8 +72,9 @@ def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, long: i
     """The documents, all columns as they are but for text, and n_lines and n_removed (names that are taken: with __line).
 
     Lines end at \\n. Later copies of a run of lines go; a run of gram + window - 1 lines that occurs earlier is always
-    matched, with the first place of one of its grams, and goes as far as it agrees with that place. With `long`, each
-    line of so many characters that occurs earlier goes, also where it is a whole document; without, documents of one line are left as they are. Grams of empty
+    matched, with the first place of one of its grams, and goes as far as it agrees with that place. With `long`, all of a
+    run of gram lines or more that occurs anywhere earlier goes, and each line of so many characters that does, also where it
+    is a whole document; without, documents of one line are left as they are. Grams of empty
     lines alone match nothing. Null texts stay null, with no lines; empty texts are one empty line. Null doc_ids rank last.
     Rows with equal id and text are one document. An empty table stays so. DataFrame functions only.
     """
