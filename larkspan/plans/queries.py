@@ -204,8 +204,9 @@ def parse_methods(spark: SparkSession, d: str) -> DataFrame:
 _EVENT_SPANS = "WITH x AS (SELECT user_id AS id, event_id AS seq, CAST(event_id * 7 % 97 AS INTEGER) AS s, CAST(event_id * 7 % 97 + 1 + event_id % 9 AS INTEGER) AS e FROM events WHERE event_id % 3 = 0), l AS (SELECT id, list({'s': s, 'e': e} ORDER BY s, s - e, seq) AS xs FROM x GROUP BY id)"
 
 
-def _event_spans(spark: SparkSession, d: str) -> DataFrame:
-    ev = _table(spark, d, "events").where("event_id % 3 = 0")
+def _event_spans(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
+    ev = _table(spark, d, "events")
+    ev = ev if every else ev.where("event_id % 3 = 0")  # as in _EVENT_SPANS
     a = (F.col("event_id") * 7 % 97).cast("int")
     e = S.span(a, a + 1 + (F.col("event_id") % 9).cast("int"), F.lit("PER"), F.lit(""))
     return ev.groupBy(F.col("user_id").alias("id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("event_id", e.alias("e")))), lambda x: x["e"]).alias("spans"))
@@ -225,7 +226,7 @@ def overlap_longest(spark: SparkSession, d: str) -> DataFrame:
 def overlap_scored(spark: SparkSession, d: str) -> DataFrame:
     kind = "array<struct<start:int,end:int,label:string,text:string,score:double>>"
     scored = F.transform("spans", lambda e: F.struct(e["start"], e["end"], e["label"], e["text"], (e["start"] % 10 / 10.0).alias("score"))).cast(kind)
-    return _event_spans(spark, d).select("id", F.explode(S.resolve_scored(scored, kind)).alias("e")).select("id", "e.start", "e.end", "e.score")
+    return _event_spans(spark, d, every=True).select("id", F.explode(S.resolve_scored(scored, kind)).alias("e")).select("id", "e.start", "e.end", "e.score")
 
 
 @query()
