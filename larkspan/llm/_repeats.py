@@ -1,42 +1,51 @@
 """Strings of a fixed length that occur again, found over a whole table: what substring and suffix dedup share.
 
-A window is `length` consecutive units (bytes or words) of one document. Every window belongs to one shard: the smallest
-hash of its `gram`-unit grams, a choice that depends on its content alone, so equal windows meet. Neighbouring windows with
-one smallest gram travel together as one stretch of text, each window in exactly one stretch.
-
-1. anchors: each batch of documents names the grams it selects; those that are selected once only in the whole table
-   cannot head a repeated window and are dropped, with their text, here.
-2. stretches: each batch sends the distinct stretches under repeated grams to the gram's shard, once for all its copies,
-   with the first place of each. A gram with very many places is sent window by window, as 128-bit hashes dealt by hash.
-3. each shard indexes its distinct stretches and answers each batch which of their windows occur elsewhere (words: an
-   FM-index, searched backward) or earlier (bytes: suffixes sorted by hash comparison).
-4. each batch marks the units under those windows.
-
-Documents are shuffled once (the same exchange feeds steps 1, 2 and 4), all that a task holds is one batch of documents or one
-shard, and their number follows the data.
+A window is `length` consecutive units (bytes or words) of one document. Its anchor is the place of the smallest hash among
+its `gram`-unit grams (the first, on ties), so equal windows have their anchors equally far in. Neighbouring windows with one
+anchor travel together as a piece, those with more after the anchor apart from those with more before it: all of a piece's
+windows share a string of `Spec.key` units around the anchor. That string's hash is the piece's key. It only routes: equal
+windows have equal keys, and what is equal is decided by the content itself.
+
+1. names: each batch of documents tells the keys of its pieces, with their counts, to the keys' shards; they tell back which
+   occur twice or more in the whole table. No other piece can hold a repeated window.
+2. pieces: each batch sends the distinct pieces under repeated keys to the keys' shards, once for all its copies, with the
+   first place of each. Pieces under a key with more than `hot` places are sent window by window under the windows' own
+   hashes, so that however often a string occurs no shard holds very many different pieces for it.
+3. answers: each shard takes its pieces by key, about CHUNK bytes of different content at a time, indexes them and tells each
+   batch which of its windows occur elsewhere (words: matching statistics from an FM-index) or earlier (bytes: suffixes
+   sorted by hash comparison, verified).
+4. marks: each batch removes the units under those windows.
+
+Documents are shuffled once (one exchange feeds steps 1, 2 and 4). A task holds one batch of documents or the messages of one
+shard, however many of either its partition has; long texts are read in overlapping segments.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.llm._fm_index import FmIndex
-from larkspan.llm._shared import parts_for, text_or_empty
+from larkspan.llm._shared import parts_for, row_slices, text_or_empty
 from larkspan.llm._suffix_sort import Suffixes
 
 _U = np.uint64
 _RNG = np.random.default_rng(20240229)
-_BYTES = [_RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1) for _ in range(2)]
-_BASE = [_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)]
-BATCH_MB, SHARD_MB = 8, 2
-HOT = 20_000
-SLICE = 1 << 18
+_BYTES = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
+_BASE = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F]
+_BEFORE, _WINDOW = _U(0x5851F42D4C957F2D), _U(0x14057B7EF767814F)
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+BATCH_MB = 8
+HOT = 8192
+#: Bytes of text that are hashed at a time, and bytes of different pieces that are indexed at a time.
+SLICE, CHUNK = 1 << 18, 1 << 19
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -46,28 +55,30 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+_powers_held: dict[int, np.ndarray] = {}
 
 
-def grams(x: np.ndarray, k: int, which: int = 0) -> np.ndarray:
-    """Polynomial hash of each k consecutive values, by doubling: log2(k) multiplications a value."""
-    out, have, power, width, at = None, x, _BASE[which], 1, 0
-    while True:
-        if k & width:
-            if out is None:
-                out = have
-            else:
-                n = len(x) - at - width + 1
-                out = out[: max(n, 0)] * power + have[at : at + max(n, 0)]
-            at += width
-        if width * 2 > k:
-            return _mix(out)
-        n = len(have) - width
-        have = have[: max(n, 0)] * power + have[width:]
-        power, width = _U(int(power) ** 2 % (1 << 64)), width * 2
+def _powers(base: int, n: int) -> np.ndarray:
+    """base to the powers 0 to n - 1, kept for the next call."""
+    have = _powers_held.get(base)
+    if have is None or len(have) < n:
+        have = np.full(max(n, SLICE + 1024), base, np.uint64)
+        have[0] = 1
+        _powers_held[base] = have = np.multiply.accumulate(have)
+    return have[:n]
+
+
+def _strings(x: np.ndarray, start: np.ndarray | slice, end: np.ndarray | slice, which: int) -> np.ndarray:
+    """Polynomial hashes of x[start:end], from sums over x: the quotient of each by its start's power."""
+    inverse = pow(_BASE[which], -1, 1 << 64)
+    total = np.r_[_U(0), np.cumsum(x * _powers(_BASE[which], len(x)))]
+    return _mix((total[end] - total[start]) * _powers(inverse, len(x) + 1)[start])
+
+
+def grams(x: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each k consecutive values."""
+    n = len(x) - k + 1
+    return _strings(x, slice(0, n), slice(k, k + n), 0) if n > 0 else np.zeros(0, np.uint64)
 
 
 def _slide(x: np.ndarray, w: int, op: np.ufunc) -> np.ndarray:
@@ -79,6 +90,14 @@ def _slide(x: np.ndarray, w: int, op: np.ufunc) -> np.ndarray:
     return op(x[: len(x) - rest], x[rest:]) if rest and len(x) > rest else x if not rest else x[:0]
 
 
+def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    return np.repeat(first, count) + _within(count)
+
+
+def _within(count: np.ndarray) -> np.ndarray:
+    return np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+
+
 @dataclass
 class Units:
     """Texts joined to one buffer. Unit i is buffer[start[i]:end[i]]; doc[j]:doc[j+1] are the units of text j."""
@@ -104,15 +123,9 @@ class Units:
         end = np.r_[spaces, len(buffer)] if buffer else np.zeros(0, np.int64)
         return Units(buffer, np.r_[0, spaces + 1] if buffer else end, end, doc, True)
 
-    def hashes(self, which: int = 0) -> np.ndarray:
-        values = _BYTES[which][np.frombuffer(self.buffer, np.uint8)]
-        if not self.words:
-            return values
-        if not len(values):
-            return values
-        inverse = _U(pow(int(_BASE[1 - which]), -1, 1 << 64))
-        total = np.r_[_U(0), np.cumsum(values * _powers(_BASE[1 - which], len(values)))]
-        return _mix((total[self.end] - total[self.start]) * _powers(inverse, len(values) + 1)[self.start])
+    def hashes(self) -> np.ndarray:
+        values = _BYTES[np.frombuffer(self.buffer, np.uint8)]
+        return _strings(values, self.start, self.end, 1) if self.words and len(values) else values
 
     def valid(self, length: int) -> np.ndarray:
         """Starts of windows that lie in one text, as a mask over window starts."""
@@ -125,6 +138,9 @@ class Units:
         return np.cumsum(mask)[:-1].astype(bool)
 
 
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
 @dataclass(frozen=True)
 class Spec:
     words: bool
@@ -132,56 +148,135 @@ class Spec:
     gram: int
     #: Only windows after the first of their content are marked (of bytes), not all of them (of words).
     later_only: bool
-    #: Places of one gram beyond which its windows travel one by one.
+    #: Places of one key beyond which its windows travel one by one.
     hot: int = HOT
 
+    @property
+    def near(self) -> int:
+        """Units before the anchor up to which a window counts as having more after it."""
+        return (self.length - self.gram) // 2
+
+    @property
+    def key(self) -> int:
+        return self.gram + min(self.length - self.gram - self.near, self.near + 1) if self.length > self.gram else self.gram
+
+    @property
+    def least(self) -> int:
+        """Bytes of the shortest text that can hold a window."""
+        return 2 * self.length - 1 if self.words else self.length
+
     def units(self, texts: list[bytes]) -> Units:
         return Units.of_words(texts) if self.words else Units.of_bytes(texts)
 
-
-def _slices(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    a, held = 0, 0
-    for b, t in enumerate(texts):
-        if held and held + len(t) > SLICE:
-            yield a, texts[a:b]
-            a, held = b, 0
-        held += len(t)
-    if a < len(texts):
-        yield a, texts[a:]
-
-
-def _selected(units: Units, spec: Spec) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Unit hashes, gram hashes, each window's smallest gram (0: not in one text), mask of windows, mask of selected grams."""
-    u = units.hashes()
-    w = spec.length - spec.gram + 1
-    g = grams(u, spec.gram) if len(u) >= spec.gram else u[:0]
-    low = _slide(g, w, np.minimum) if len(g) >= w else g[:0]
-    ok = units.valid(spec.length)
-    low = np.where(ok, low, _U(0))
-    pad = np.zeros(w - 1, np.uint64)
-    high = _slide(np.r_[pad, low, pad], w, np.maximum) if len(low) else g
-    return u, g, low, ok, (high == g) & (high > 0) if len(low) else np.zeros(len(g), bool)
-
-
-def _runs(low: np.ndarray, ok: np.ndarray, most: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of up to `most` neighbouring windows with one smallest gram: first windows, counts."""
-    if not len(low):
+    def size(self, text: bytes) -> int:
+        if not self.words:
+            return len(text)
+        blank = _SPACE[np.frombuffer(text, np.uint8)]
+        return int(np.count_nonzero(~blank & np.r_[True, blank[:-1]]))
+
+    def segments(self, text: bytes) -> Iterator[tuple[int, bytes]]:
+        """(number of its first unit, part of the text): each window lies in exactly one."""
+        if len(text) <= SLICE:
+            yield 0, text
+        elif not self.words:
+            for a in range(0, len(text) - self.length + 1, SLICE):
+                yield a, text[a : a + SLICE + self.length - 1]
+        else:
+            at, base, span = 0, 0, SLICE
+            while True:
+                stop = _BLANK.search(text, at + span)
+                part = text[at : stop.start() if stop else len(text)]
+                tail = part.rsplit(None, self.length - 1) if self.length > 1 else [part]
+                if stop and len(tail) < self.length:
+                    span *= 2  # a few very long words: take more
+                    continue
+                yield base, part
+                if not stop:
+                    return
+                at, base, span = at + len(tail[0]), base + self.size(tail[0]), SLICE
+
+    def cut(self, units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each piece: its first window, count of windows, units from there to the anchor, key; and the units' hashes."""
+        u = units.hashes()
+        n = len(u)
+        none = np.zeros(0, np.int64)
+        if n < self.length:
+            return none, none, none, np.zeros(0, np.uint64), u
+        mask = _U((1 << n.bit_length()) - 1)
+        g = (grams(u, self.gram) & ~mask) | np.arange(n - self.gram + 1, dtype=np.uint64)
+        anchor = (_slide(g, self.length - self.gram + 1, np.minimum) & mask).astype(np.int64)
+        first, stop = _runs(anchor, units.valid(self.length))
+        p = anchor[first]
+        turn = p - self.near  # windows from here on have more after the anchor
+        a, b = np.minimum(stop, np.maximum(first, turn)), np.maximum(first, np.minimum(stop, turn))
+        long = grams(u, self.key)
+        behind, ahead = np.flatnonzero(a > first), np.flatnonzero(stop > b)
+        begin, end, at = np.r_[first[behind], b[ahead]], np.r_[a[behind], stop[ahead]], np.r_[p[behind], p[ahead]]
+        key = np.r_[long[p[behind] - (self.key - self.gram)] ^ _BEFORE, long[p[ahead]]]
+        order = np.argsort(begin, kind="stable")
+        return begin[order], (end - begin)[order], (at - begin)[order], key[order], u
+
+
+def _runs(value: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of neighbouring windows with one value: first windows, and the ones after the last."""
+    if not len(value):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    first = np.flatnonzero(ok & np.r_[True, (low[1:] != low[:-1]) | ~ok[:-1]])
-    stop = np.flatnonzero(ok & np.r_[(low[1:] != low[:-1]) | ~ok[1:], True]) + 1
-    pieces = (stop - first + most - 1) // most
-    pick = np.repeat(np.arange(len(first)), pieces)
-    nth = np.arange(len(pick)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    start = first[pick] + nth * most
-    return start, np.minimum(stop[pick] - start, most)
+    turn = value[1:] != value[:-1]
+    first = np.flatnonzero(ok & np.r_[True, turn | ~ok[:-1]])
+    return first, np.flatnonzero(ok & np.r_[turn | ~ok[1:], True]) + 1
 
 
-def _ordered(group: pa.Table) -> tuple[list, list[bytes]]:
-    """Ids and texts of a batch in an order of their own, alike however the rows arrived."""
-    ids = group.column("doc_id").to_pylist()
-    texts = [x or b"" for x in group.column("text").cast(pa.large_binary()).to_pylist()]
-    order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, texts[i]))
-    return [ids[i] for i in order], [texts[i] for i in order]
+@dataclass
+class _Batch:
+    """A batch's documents in an order of their own, alike however the rows arrived: by id (null first, those by a hash of
+    their text), then text."""
+
+    ids: list
+    texts: list[bytes]
+    #: Rank of a document: its id and, for null ids, its text's hash; and the units of those of equal rank before it.
+    rank: np.ndarray
+    before: np.ndarray
+
+    @staticmethod
+    def read(group: pa.Table, spec: Spec) -> _Batch:
+        ids = group.column("doc_id").to_pylist()
+        texts = [x or b"" for x in group.column("text").cast(pa.large_binary()).to_pylist()]
+        rank = [(-(1 << 63), xxhash.xxh64_intdigest(t) >> 1) if i is None else (i, 0) for i, t in zip(ids, texts)]
+        order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, rank[i], texts[i]))
+        ids, texts, rank = [ids[i] for i in order], [texts[i] for i in order], [rank[i] for i in order]
+        before = [0] * len(ids)
+        for i in range(1, len(ids)):
+            before[i] = before[i - 1] + spec.size(texts[i - 1]) if rank[i] == rank[i - 1] else 0
+        return _Batch(ids, texts, np.array(rank, np.int64).reshape(-1, 2), np.array(before, np.int64))
+
+    def pieces(self, spec: Spec) -> Iterator[tuple[Units, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """By slice: units, their hashes, and of each piece its first window, count, anchor, key, the number that window has
+        among all windows of the batch, and its (text's number, unit in the text)."""
+        windows, most, at = 0, 0, -1
+        for part in self._slices(spec):
+            units = spec.units([x for *_, x in part])
+            size, number, base, ahead = np.diff(units.doc), [], [], []
+            for (t, b, _), n in zip(part, size.tolist()):
+                if t != at:
+                    windows, most, at = windows + most, 0, t
+                number.append(t), base.append(b), ahead.append(windows + b)
+                most = max(most, b + n - spec.length + 1)
+            first, count, anchor, key, u = spec.cut(units)
+            segment = np.searchsorted(units.doc, first, "right") - 1
+            inside = first - units.doc[segment]
+            yield units, u, first, count, anchor, key, np.array(ahead, np.int64)[segment] + inside, np.stack([np.array(number, np.int64)[segment], np.array(base, np.int64)[segment] + inside])
+
+    def _slices(self, spec: Spec) -> Iterator[list[tuple[int, int, bytes]]]:
+        held, size = [], 0
+        for t, text in enumerate(self.texts):
+            for base, part in spec.segments(text):
+                if held and size + len(part) > SLICE:
+                    yield held
+                    held, size = [], 0
+                held.append((t, base, part))
+                size += len(part)
+        if held:
+            yield held
 
 
 def _blob(x: np.ndarray) -> bytes:
@@ -195,181 +290,126 @@ def _by_shard(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]
         yield int(shard[part[0]]), part
 
 
-_MESSAGE = pa.schema([("to", pa.int64()), ("batch", pa.int64()), ("kind", pa.int8()), ("a", pa.large_binary()), ("b", pa.large_binary()), ("c", pa.large_binary()), ("d", pa.large_binary())])
+_MESSAGE = [("to", pa.int64()), ("batch", pa.int64()), ("kind", pa.int8()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())]
 MESSAGE = "to long, batch long, kind byte, a binary, b binary, c binary, d binary"
-GRAM, STRETCH, WINDOW, REPEATED, MARKED, MARKED_HASH = range(6)
+NAMES, PIECES, REPEATED, MARKED = range(4)
 
 
 def _messages(rows: list[tuple]) -> pa.Table:
-    schema = pa.schema([(f.name, pa.binary() if f.type == pa.large_binary() else f.type) for f in _MESSAGE])
-    return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+    return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(_MESSAGE)], names=[n for n, _ in _MESSAGE])
+
 
+def _names(spec: Spec, shards: int) -> Callable:
+    """Step 1: a batch's keys, to their shards: those of one piece, and the others with their counts."""
 
-def _anchors(spec: Spec, shards: int) -> Callable:
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        _, texts = _ordered(group)
-        picked = []
-        for _, part in _slices(texts):
-            _, g, _, _, chosen = _selected(spec.units(part), spec)
-            picked.append(g[chosen])
-        found, count = np.unique(np.concatenate(picked), return_counts=True) if picked else (np.zeros(0, _U), np.zeros(0, int))
-        count = np.minimum(count, 255).astype(np.uint8)
-        return _messages([(s, key[0].as_py(), GRAM, _blob(found[i]), _blob(count[i]), b"", b"") for s, i in _by_shard(found, shards)])
+        batch, told = _Batch.read(group, spec), key[0].as_py()
+        keys = [x[5] for x in batch.pieces(spec)]
+        found, count = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.zeros(0, _U), np.zeros(0, np.int64))
+        rows = []
+        for s, i in _by_shard(found, shards):
+            once, often = i[count[i] == 1], i[count[i] > 1]
+            rows.append((s, told, NAMES, _blob(found[once]), _blob(found[often]), _blob(count[often].astype(np.uint32)), b""))
+        return _messages(rows)
 
     return run
 
 
 def _repeated(spec: Spec) -> Callable:
-    """A shard's grams from all batches -> for each batch the ones selected twice or more, and which of them are hot."""
+    """A shard's keys from all batches -> for each batch the ones with two places or more, and which of them are hot."""
 
     def run(group: pa.Table) -> pa.Table:
         batch = group.column("batch").to_pylist()
-        found = [np.frombuffer(x, np.uint64) for x in group.column("a").to_pylist()]
-        count = np.concatenate([np.frombuffer(x, np.uint8) for x in group.column("b").to_pylist()]).astype(np.int64)
-        owner = np.repeat(np.arange(len(batch)), [len(x) for x in found])
-        h = np.concatenate(found)
-        order = np.argsort(h, kind="stable")
-        edge = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
-        total = np.add.reduceat(count[order], edge)
-        size = np.zeros(len(h), np.int64)
-        size[order] = np.repeat(total, np.diff(np.r_[edge, len(h)]))
+        once, often = ([np.frombuffer(x, np.uint64) for x in group.column(c).to_pylist()] for c in "ab")
+        counts = [np.frombuffer(x, np.uint32) for x in group.column("c").to_pylist()]
+        h = np.concatenate([x for pair in zip(once, often) for x in pair])
+        count = np.concatenate([x for a, c in zip(once, counts) for x in (np.ones(len(a), np.int64), c.astype(np.int64))])
+        edges = np.r_[0, np.cumsum([len(a) + len(b) for a, b in zip(once, often)])]
+        _, place = np.unique(h, return_inverse=True)
+        total = np.bincount(place, weights=count).astype(np.int64)[place] if len(h) else count
         rows = []
-        for i, b in enumerate(batch):
-            own = owner == i if len(batch) < 2 else slice(*np.searchsorted(owner, [i, i + 1]))
-            keep = size[own] >= 2
-            if keep.any():
-                rows.append((0, b, REPEATED, _blob(h[own][keep]), _blob((size[own][keep] > spec.hot).astype(np.uint8)), b"", b""))
+        for b, x, y in zip(batch, edges.tolist(), edges[1:].tolist()):
+            keep = x + np.flatnonzero(total[x:y] >= 2)
+            if len(keep):
+                rows.append((0, b, REPEATED, _blob(h[keep]), _blob((total[keep] > spec.hot).astype(np.uint8)), b"", b""))
         return _messages(rows)
 
     return run
 
 
-@dataclass
-class _Batch:
-    """A batch's stretches under repeated grams, the same at each pass: content -> number, places, hot windows."""
-
-    ids: list
-    texts: list[bytes]
-    spec: Spec
-    grams: np.ndarray
-    hot: np.ndarray
-    #: Of each text, the bytes of those before it that have its id.
-    before: np.ndarray
-
-    @staticmethod
-    def read(left: pa.Table, right: pa.Table, spec: Spec) -> _Batch:
-        ids, texts = _ordered(left)
-        mine = [(a, b) for k, a, b in zip(right.column("kind").to_pylist(), right.column("a").to_pylist(), right.column("b").to_pylist()) if k == REPEATED]
-        g = np.concatenate([np.frombuffer(a, np.uint64) for a, _ in mine]) if mine else np.zeros(0, np.uint64)
-        hot = np.concatenate([np.frombuffer(b, np.uint8) for _, b in mine]) if mine else np.zeros(0, np.uint8)
-        order = np.argsort(g)
-        before = [0] * len(ids)
-        for i in range(1, len(ids)):
-            before[i] = before[i - 1] + len(texts[i - 1]) if ids[i] == ids[i - 1] else 0
-        return _Batch(ids, texts, spec, g[order], hot[order].astype(bool), np.array(before, np.int64))
-
-    def stretches(self) -> Iterator[tuple[int, Units, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """By slice: first text's number, units, and of each run its first window, count, gram, whether hot, unit hashes."""
-        for at, part in _slices(self.texts):
-            units = self.spec.units(part)
-            u, _, low, ok, _ = _selected(units, self.spec) if len(self.grams) else (None, None, np.zeros(0, _U), np.zeros(0, bool), None)
-            first, count = _runs(low, ok)
-            g = low[first] if len(first) else np.zeros(0, _U)
-            place = np.minimum(np.searchsorted(self.grams, g), max(len(self.grams) - 1, 0))
-            known = self.grams[place] == g if len(self.grams) else np.zeros(len(g), bool)
-            yield at, units, first[known], count[known], g[known], self.hot[place[known]] if len(self.grams) else np.zeros(0, bool), u
-
-    def contents(self, units: Units, first: np.ndarray, count: np.ndarray) -> list[bytes]:
-        a, b = units.start[first], units.end[first + count + self.spec.length - 2]
-        return [units.buffer[x:y] for x, y in zip(a.tolist(), b.tolist())]
-
-    def places(self, at: int, units: Units, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of windows: the number of their text in the batch, and their place in it, after all texts of the same id before it."""
-        doc = np.searchsorted(units.doc, first, "right") - 1
-        return at + doc, first - units.doc[doc] + self.before[at + doc]
-
-
-def _window_hashes(u: np.ndarray, units: Units, spec: Spec) -> tuple[np.ndarray, np.ndarray]:
-    return grams(u, spec.length), grams(units.hashes(1), spec.length, 1)
-
-
-def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    return np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-
-
-def _id(x) -> int:
-    return -(1 << 63) if x is None else x
-
-
 def _send(spec: Spec, shards: int) -> Callable:
-    """Step 2: a batch's distinct stretches and hot windows, to their shards."""
+    """Step 2: a batch's distinct pieces under repeated keys, to the keys' shards, and the windows that it can mark by itself."""
 
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        batch = _Batch.read(left, right, spec)
+        told = key[0].as_py()
+        known = np.concatenate([np.frombuffer(x, np.uint64) for x in right.column("a").to_pylist()] or [np.zeros(0, _U)])
+        hot = np.concatenate([np.frombuffer(x, np.uint8) for x in right.column("b").to_pylist()] or [np.zeros(0, np.uint8)])
+        if not len(known):
+            return _messages([])
+        order = np.argsort(known)
+        known, hot = known[order], hot[order].astype(bool)
+        batch = _Batch.read(left, spec)
         number: dict[bytes, int] = {}
-        gram, doc, place, many, hot = [], [], [], [], []
-        for at, units, first, count, g, is_hot, u in batch.stretches():
-            cold = ~is_hot
-            texts, (docs, places) = batch.contents(units, first[cold], count[cold]), batch.places(at, units, first[cold])
-            for text, h, d, p in zip(texts, g[cold].tolist(), docs.tolist(), places.tolist()):
-                n = number.setdefault(text, len(number))
-                if n == len(gram):
-                    gram.append(h), doc.append(_id(batch.ids[d])), place.append(p), many.append(0)
-                else:
-                    many[n] = 1
-            if is_hot.any():
-                w = _spread(first[is_hot], count[is_hot])
-                h1, h2 = _window_hashes(u, units, spec)
-                docs, places = batch.places(at, units, w)
-                ids = np.array([_id(batch.ids[d]) for d in docs.tolist()], np.int64)
-                hot.append(np.stack([h1[w], h2[w], ids.view(np.uint64), places.astype(np.uint64)], axis=1))
-        rows, to = [], key[0].as_py()
-        texts = list(number)
-        doc, place, many, gram = np.array(doc, np.int64), np.array(place, np.int64), np.array(many, np.int64), np.array(gram, np.uint64)
-        for s, i in _by_shard(gram, shards):
-            mine = [texts[k] for k in i.tolist()]
-            rows.append((s, to, STRETCH, b"".join(mine), _blob(np.array([len(x) for x in mine], np.uint32)), _blob(i.astype(np.uint32)), _blob(np.stack([doc[i], place[i], many[i]]))))
-        if hot:
-            x, many = _first_of(np.concatenate(hot))
-            for s, i in _by_shard(x[:, 0], shards):
-                rows.append((s, to, WINDOW, _blob(x[i]), _blob(many[i]), b"", b""))
+        which, held = [], []
+        for units, u, first, count, anchor, keys, window, (doc, place) in batch.pieces(spec):
+            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            same = known[at] == keys
+            single = same & hot[at]
+            parts = [(same & ~single, None), (single, grams(u, spec.length) ^ _WINDOW if single.any() else None)]
+            for some, own in parts:
+                i = np.flatnonzero(some)
+                if not len(i):
+                    continue
+                f, c, o, k, w, d, p = (x[i] for x in (first, count, anchor, keys, window, doc, place))
+                if own is not None:
+                    n = _within(c)
+                    f, o, w, d, p = (np.repeat(x, c) + y for x, y in ((f, n), (o, -n), (w, n), (d, 0), (p, n)))
+                    c, k = np.ones(len(f), np.int64), own[f]
+                texts = zip(units.start[f].tolist(), units.end[f + c + spec.length - 2].tolist())
+                which += [number.setdefault(units.buffer[a:b], len(number)) for a, b in texts]
+                held.append(np.stack([k.view(np.int64), *batch.rank[d].T, batch.before[d] + p, o, w, c]))
+        if not held:
+            return _messages([])
+        pieces, which = np.concatenate(held, axis=1), np.array(which, np.int64)
+        _, lead, again = np.unique(which, return_index=True, return_counts=True)
+        # a content that the batch has twice: its later places (of bytes), or all of them (of words), are marked as they are
+        mark = np.ones(len(which), bool)
+        mark[lead if spec.later_only else lead[again == 1]] = False
+        rows = [(told % shards, told, MARKED, _blob(pieces[5, mark]), _blob(pieces[6, mark].astype(np.uint32)), b"", b"")] if mark.any() else []
+        contents = list(number)
+        first = pieces[:, lead]
+        for s, i in _by_shard(first[0].view(np.uint64), shards):
+            mine = [contents[k] for k in i.tolist()]
+            meta = np.stack([*first[:6, i], (again[i] > 1).astype(np.int64)])
+            rows.append((s, told, PIECES, b"".join(mine), _blob(np.array([len(x) for x in mine], np.uint32)), _blob(meta), b""))
         return _messages(rows)
 
     return run
 
 
-def _first_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (hash, hash, id, place): the first place of each hash, and whether there are more."""
-    order = np.lexsort((x[:, 3], x[:, 2].view(np.int64), x[:, 1], x[:, 0]))
-    x = x[order]
-    edge = np.flatnonzero(np.r_[True, (x[1:, :2] != x[:-1, :2]).any(axis=1)])
-    return x[edge], (np.diff(np.r_[edge, len(x)]) > 1).astype(np.uint8)
-
-
-def _equal_classes(units: Units, spec: Spec, starts: np.ndarray) -> np.ndarray:
+def _equal_classes(units: Units, spec: Spec, starts: np.ndarray, anchors: np.ndarray | None = None) -> np.ndarray:
     """Class of each window of bytes (number of its first equal in `starts`).
 
-    Windows are held by their smallest gram's first place in them, the anchor: of two equal windows it stands equally far
-    in. Anchors are sorted by what follows them and by what comes before them, backward; windows whose anchor is o bytes
-    in are equal if nothing parts their anchors within length - o bytes ahead or o bytes back.
+    anchors: each window's anchor; of two equal windows it stands equally far in. Anchors are sorted by what follows them
+    and by what comes before them, backward; windows whose anchor is o bytes in are equal if nothing parts their anchors
+    within length - o bytes ahead or o bytes back.
     """
     if not len(starts):
         return np.zeros(0, np.int64)
-    g = grams(units.hashes(), spec.gram)
-    low = _slide(g, spec.length - spec.gram + 1, np.minimum)[starts]
-    text = np.searchsorted(units.doc, starts, "right") - 1
-    heads = np.repeat(low[np.r_[True, text[1:] != text[:-1]]], np.diff(units.doc)[np.unique(text)])
-    own = np.zeros(units.doc[-1], _U)
-    own[_spread(units.doc[:-1][np.unique(text)], np.diff(units.doc)[np.unique(text)])] = heads
-    place = np.where(own[: len(g)] == g, np.arange(len(g)), len(g))
-    after = np.minimum.accumulate(place[::-1])[::-1]
-    anchor, which = np.unique(after[starts], return_inverse=True)
-    back = anchor[which] - starts
+    if anchors is None:
+        g = grams(units.hashes(), spec.gram)
+        low = _slide(g, spec.length - spec.gram + 1, np.minimum)[starts]
+        inside = g[starts[:, None] + np.arange(spec.length - spec.gram + 1)]
+        anchors = starts + (inside == low[:, None]).argmax(axis=1)
+    anchor, which = np.unique(anchors, return_inverse=True)
+    back = anchors - starts
     data = np.frombuffer(units.buffer, np.uint8)
     inside = np.searchsorted(units.doc, anchor, "right") - 1
     ahead = Suffixes(data, anchor, np.minimum(units.doc[inside + 1] - anchor, spec.length))
+    order_a, lcp_a = ahead.order()
+    del ahead
     behind = Suffixes(data[::-1].copy(), len(data) - anchor, np.minimum(anchor - units.doc[inside], spec.length))
-    (order_a, lcp_a), (order_b, lcp_b) = ahead.order(), behind.order()
+    order_b, lcp_b = behind.order()
     rank_a, rank_b = np.empty_like(order_a), np.empty_like(order_b)
     rank_a[order_a], rank_b[order_b] = np.arange(len(order_a)), np.arange(len(order_b))
     rep = np.empty(len(starts), np.int64)
@@ -383,8 +423,8 @@ def _equal_classes(units: Units, spec: Spec, starts: np.ndarray) -> np.ndarray:
 
 
 def _repeated_windows(units: Units, spec: Spec, weight: np.ndarray) -> np.ndarray:
-    """Which window starts of texts of words have copies: each text streamed through an FM-index of all of them, where it
-    counts `weight` times."""
+    """Which window starts of texts of words have copies: each text is streamed through an FM-index of all of them, where it
+    counts `weight` times, and reported where its matching statistic reaches the window's length."""
     number: dict[bytes, int] = {}
     words = [units.buffer[a:b] for a, b in zip(units.start.tolist(), units.end.tolist())]
     symbols = np.array([number.setdefault(w, len(number) + 1) for w in words], np.int64)
@@ -396,133 +436,155 @@ def _repeated_windows(units: Units, spec: Spec, weight: np.ndarray) -> np.ndarra
     return index.repeated(text, start, size, np.repeat(weight, size + 1))[_spread(start, size)]
 
 
+def _marked(spec: Spec, contents: list[bytes], which: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of some keys, from all batches -> runs of windows to mark: number of the piece, first window, count.
+
+    meta, by row: key, rank (two rows), place, anchor, window, whether its batch has more of it.
+    """
+    units = spec.units(contents)
+    windows = np.diff(units.doc) - spec.length + 1
+    if spec.later_only:  # of equal pieces the first stays; windows are compared between different ones
+        order = np.lexsort((meta[3], meta[2], meta[1], which))
+        lead = order[np.r_[True, which[order][1:] != which[order][:-1]]]  # by content
+        rest = np.setdiff1d(np.arange(len(which)), lead, assume_unique=True)
+        starts = _spread(units.doc[:-1], windows)
+        rep = _equal_classes(units, spec, starts, np.repeat(units.doc[:-1] + meta[4, lead], windows))
+        # pieces of a document share no windows, so in their order windows stand as in the table
+        by = np.lexsort((meta[3, lead], meta[2, lead], meta[1, lead]))
+        order = _spread((np.cumsum(windows) - windows)[by], windows[by])
+        first = np.empty(len(rep), np.int64)
+        first[rep[order[::-1]]] = order[::-1]
+        mark = first[rep] != np.arange(len(rep))
+        owner = np.repeat(lead, windows)
+    else:
+        weight = np.bincount(which, weights=1 + meta[6]).astype(np.int64)
+        alone = weight[which] == 1
+        rest, lead = np.flatnonzero(~alone & (meta[6] == 0)), np.flatnonzero(alone)
+        found = _repeated_windows(units, spec, weight)
+        count = windows[which[lead]]
+        mark = found[_spread(units.doc[which[lead]], count)]
+        owner, windows = np.repeat(lead, count), count
+    hit, nth = np.flatnonzero(mark), _within(windows)
+    edge = np.flatnonzero(np.r_[True, (np.diff(hit) != 1) | (np.diff(owner[hit]) != 0)]) if len(hit) else hit
+    whole = np.diff(units.doc)[which[rest]] - spec.length + 1
+    return np.r_[owner[hit[edge]], rest], np.r_[nth[hit[edge]], np.zeros(len(rest), np.int64)], np.r_[np.diff(np.r_[edge, len(hit)]), whole]
+
+
 def _answer(spec: Spec) -> Callable:
-    """Step 3: a shard's stretches and hot windows -> for each batch, its windows to mark."""
+    """Step 3: a shard's pieces -> for each batch, its windows to mark."""
 
     def run(group: pa.Table) -> pa.Table:
-        kinds = np.array(group.column("kind").to_pylist())
-        cols = [group.column(c).to_pylist() for c in ("batch", "a", "b", "c", "d")]
-        rows = []
-        cold = np.flatnonzero(kinds == STRETCH)
-        if len(cold):
-            sizes = [np.frombuffer(cols[2][i], np.uint32).astype(np.int64) for i in cold]
-            size = np.concatenate(sizes)
-            joined = b"".join(cols[1][i] for i in cold)
-            ends = np.cumsum(size)
+        kinds = np.asarray(group.column("kind"))
+        done = group.filter(pa.array(kinds == MARKED))
+        rows = [(0, *r) for r in zip(*(done.column(c).to_pylist() for c in ("batch", "kind", "a", "b", "c", "d")))]
+        group = group.filter(pa.array(kinds == PIECES))
+        if not group.num_rows:
+            return _messages(rows)
+        batch = group.column("batch").to_pylist()
+        joined = group.column("a").to_pylist()
+        sizes = [np.frombuffer(x, np.uint32).astype(np.int64) for x in group.column("b").to_pylist()]
+        meta = np.concatenate([np.frombuffer(x, np.int64).reshape(7, -1) for x in group.column("c").to_pylist()], axis=1)
+        del group
+        source = np.repeat(np.arange(len(batch)), [len(x) for x in sizes])
+        end = np.concatenate([np.cumsum(x) for x in sizes])
+        size = np.concatenate(sizes)
+        order = np.argsort(meta[0], kind="stable")
+        key = meta[0, order]
+        edges = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(order)]
+        piece, first, count = [], [], []
+        at = 0
+        while at < len(edges) - 1:
             distinct: dict[bytes, int] = {}
-            which = np.array([distinct.setdefault(joined[a:b], len(distinct)) for a, b in zip((ends - size).tolist(), ends.tolist())])
-            where = [np.frombuffer(cols[4][i], np.int64).reshape(3, -1) for i in cold]
-            doc, place, many = (np.concatenate([x[k] for x in where]) for k in (0, 1, 2))
-            units = spec.units(list(distinct))
-            each = np.diff(units.doc) - spec.length + 1
-            count = each[which]
-            owner = np.repeat(np.arange(len(which)), count)
-            nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-            if spec.later_only:
-                rep = _equal_classes(units, spec, _spread(units.doc[:-1], each))[(np.cumsum(each) - each)[which][owner] + nth]
-                # stretches of a document don't share windows, so in their order windows stand as in the table
-                order = np.lexsort((place, doc))
-                order = _spread((np.cumsum(count) - count)[order], count[order])
-                first = np.empty(len(rep), np.int64)
-                first[rep[order[::-1]]] = order[::-1]
-                mark = first[rep] != np.arange(len(rep))
-            else:
-                mark = _repeated_windows(units, spec, np.bincount(which, weights=1 + many).astype(np.int64))[units.doc[which][owner] + nth]
-            number = np.concatenate([np.frombuffer(cols[3][i], np.uint32) for i in cold])
-            source = np.repeat(np.array([cols[0][i] for i in cold]), [len(x) for x in sizes])
-            hit = np.flatnonzero(mark)
-            by = np.argsort(source[owner[hit]], kind="stable")
-            hit = hit[by]
-            for part in np.split(hit, np.flatnonzero(np.diff(source[owner[hit]])) + 1) if len(hit) else []:
-                edge = np.flatnonzero(np.r_[True, (np.diff(part) != 1) | (np.diff(owner[part]) != 0)])
-                length = np.diff(np.r_[edge, len(part)])
-                runs = np.stack([number[owner[part[edge]]].astype(np.uint32), nth[part[edge]].astype(np.uint32), length.astype(np.uint32)])
-                rows.append((0, int(source[owner[part[0]]]), MARKED, _blob(runs), b"", b"", b""))
-        warm = np.flatnonzero(kinds == WINDOW)
-        if len(warm):
-            each = [np.frombuffer(cols[1][i], np.uint64).reshape(-1, 4) for i in warm]
-            x = np.concatenate(each)
-            many = np.concatenate([np.frombuffer(cols[2][i], np.uint8) for i in warm])
-            source = np.repeat(np.array([cols[0][i] for i in warm]), [len(e) for e in each])
-            order = np.lexsort((x[:, 3], x[:, 2].view(np.int64), x[:, 1], x[:, 0]))
-            x, many, source = x[order], many[order], source[order]
-            edge = np.r_[True, (x[1:, :2] != x[:-1, :2]).any(axis=1)]
-            size = np.diff(np.r_[np.flatnonzero(edge), len(x)])
-            again = np.repeat(size, size) > 1
-            # all places: 2 elsewhere in the table; later places: 1 if this batch also has the first place of all
-            mark = (~edge | (many > 0)) if spec.later_only else (again | (many > 0))
-            own_first = edge if spec.later_only else np.zeros(len(x), bool)
-            for b in np.unique(source[mark]).tolist():
-                k = np.flatnonzero(mark & (source == b))
-                rows.append((0, b, MARKED_HASH, _blob(x[k, :2]), _blob(own_first[k].astype(np.uint8)), b"", b""))
+            which, held, begin = [], 0, at
+            while at < len(edges) - 1 and held < CHUNK:
+                for i in order[edges[at] : edges[at + 1]].tolist():
+                    text = joined[source[i]][end[i] - size[i] : end[i]]
+                    if (n := distinct.setdefault(text, len(distinct))) == len(distinct) - 1:
+                        held += len(text)
+                    which.append(n)
+                at += 1
+            some = order[edges[begin] : edges[at]]
+            p, f, c = _marked(spec, list(distinct), np.array(which, np.int64), meta[:, some])
+            piece.append(some[p]), first.append(f), count.append(c)
+        piece, first, count = (np.concatenate(x) for x in (piece, first, count))
+        for part in np.split(by := np.argsort(source[piece], kind="stable"), np.flatnonzero(np.diff(source[piece][by])) + 1):
+            if len(part):
+                rows.append((0, batch[source[piece[part[0]]]], MARKED, _blob(meta[5, piece[part]] + first[part]), _blob(count[part].astype(np.uint32)), b"", b""))
         return _messages(rows)
 
     return run
 
 
+def _covered(start: np.ndarray, stop: np.ndarray, n: int) -> np.ndarray:
+    """A mask of n units: those from a start to its stop."""
+    gone = np.zeros(n, bool)
+    order = np.argsort(start, kind="stable")
+    start, stop = start[order], np.maximum.accumulate(stop[order])
+    fresh = np.flatnonzero(np.r_[True, start[1:] > stop[:-1]])
+    for a, b in zip(start[fresh].tolist(), stop[np.r_[fresh[1:], len(stop)] - 1].tolist()):
+        gone[a:b] = True
+    return gone
+
+
 def _finish(spec: Spec, digest: Callable) -> Callable:
     """Step 4: marks the units of each text of the batch and digests it."""
 
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        batch = _Batch.read(left, right, spec)
-        marked: dict[int, list[tuple[int, int]]] = {}
-        hashes, firsts = [], []
-        for kind, a, b in zip(right.column("kind").to_pylist(), right.column("a").to_pylist(), right.column("b").to_pylist()):
-            if kind == MARKED:
-                for n, s, c in np.frombuffer(a, np.uint32).reshape(3, -1).T.tolist():
-                    marked.setdefault(n, []).append((s, c))
-            elif kind == MARKED_HASH:
-                hashes.append(np.frombuffer(a, np.uint64).reshape(-1, 2))
-                firsts.append(np.frombuffer(b, np.uint8))
-        known = {h: bool(f) for h, f in zip(map(tuple, np.concatenate(hashes).tolist()), np.concatenate(firsts).tolist())} if hashes else {}
-        number: dict[bytes, int] = {}
-        used: set = set()
-        out: list[tuple] = []
-        for at, units, first, count, _, is_hot, u in batch.stretches():
-            hit_start, hit_count = [], []
-            cold = ~is_hot
-            for text, f, c in zip(batch.contents(units, first[cold], count[cold]), first[cold].tolist(), count[cold].tolist()):
-                fresh = len(number)
-                n = number.setdefault(text, fresh)
-                if n < fresh and spec.later_only:  # an equal stretch came before it
-                    hit_start.append(f), hit_count.append(c)
-                    continue
-                for s, k in marked.get(n, ()):
-                    hit_start.append(f + s), hit_count.append(k)
-            if is_hot.any() and known:
-                w = _spread(first[is_hot], count[is_hot])
-                h1, h2 = _window_hashes(u, units, spec)
-                for s, pair in zip(w.tolist(), zip(h1[w].tolist(), h2[w].tolist())):
-                    if pair in known:
-                        if known[pair] and pair not in used:
-                            used.add(pair)
-                            continue
-                        hit_start.append(s), hit_count.append(1)
-            cover = np.zeros(len(units.start) + 1, np.int64)
-            if hit_start:
-                s, c = np.array(hit_start), np.array(hit_count)
-                np.add.at(cover, s, 1)
-                np.add.at(cover, s + c + spec.length - 1, -1)
-            gone = np.cumsum(cover[:-1]) > 0
-            for j in range(len(units.doc) - 1):
-                a, b = units.doc[j], units.doc[j + 1]
-                out.append((batch.ids[at + j], *digest(units, int(a), int(b), gone[a:b])))
-        names = ["doc_id", *digest.columns]
-        kinds = [pa.int64(), *digest.types]
-        return pa.Table.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
+        batch = _Batch.read(left, spec)
+        start = np.concatenate([np.frombuffer(x, np.int64) for x in right.column("a").to_pylist()] or [np.zeros(0, np.int64)])
+        count = np.concatenate([np.frombuffer(x, np.uint32) for x in right.column("b").to_pylist()] or [np.zeros(0, np.uint32)]).astype(np.int64)
+        order = np.argsort(start, kind="stable")
+        start, count = start[order], count[order]
+        out, windows = [], 0
+        for i, text in zip(batch.ids, batch.texts):
+            n = spec.size(text)
+            stop = windows + max(0, n - spec.length + 1)
+            a, b = np.searchsorted(start, [windows, stop])
+            gone = _covered(start[a:b] - windows, start[a:b] - windows + count[a:b] + spec.length - 1, n) if b > a else None
+            out.append((i, *digest(text, n, gone)))
+            windows = stop
+        return _digests(digest, out)
 
     return run
 
 
+def _digests(digest: Callable, rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int64(), *digest.types])], names=["doc_id", *digest.columns])
+
+
+def without(text: bytes, gone: np.ndarray | None, words: bool) -> bytes:
+    """A text without its marked units; words are joined by a space."""
+    raw = np.frombuffer(text, np.uint8)
+    if not words:
+        return text if gone is None else raw[~gone].tobytes()
+    blank = _SPACE[raw]
+    if gone is not None:
+        word = np.cumsum(~blank & np.r_[True, blank[:-1]]) - 1
+        blank = blank | gone[np.maximum(word, 0)]
+    # of the blanks only the one right before a word stays, as a space
+    before = np.r_[~blank[1:], np.zeros(min(1, len(blank)), bool)]
+    return np.where(blank, np.uint8(32), raw)[~blank | before].tobytes().lstrip(b" ")
+
+
 def remove_repeats(docs: DataFrame, spec: Spec, digest: Callable, schema: str) -> DataFrame:
-    """(doc_id, text) -> one row per document with what digest makes of its text and its marked units."""
-    batches = parts_for(docs, "text", BATCH_MB)
-    shards = batches * (BATCH_MB // SHARD_MB)
+    """(doc_id, text) -> one row per document with what digest makes of its text, its units' number and their marks."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    dealt = slim.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches))).repartition(batches, "batch")
-    found = dealt.groupBy("batch").applyInArrow(_anchors(spec, shards), MESSAGE)
-    repeated = found.groupBy("to").applyInArrow(_repeated(spec), MESSAGE).repartition(batches, "batch")
-    sent = dealt.groupBy("batch").cogroup(repeated.groupBy("batch")).applyInArrow(_send(spec, shards), MESSAGE)
-    answers = sent.groupBy("to").applyInArrow(_answer(spec), MESSAGE)
-    told = repeated.unionByName(answers).repartition(batches, "batch")
-    return dealt.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_finish(spec, digest), schema)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in row_slices(batches, "text"):
+            out = [(i, *digest(t, spec.size(t), None)) for i, t in zip(rows.column(0).to_pylist(), texts)]
+            yield from _digests(digest, out).to_batches()
+
+    size = F.octet_length("text")
+    some = slim.where(size >= spec.least)
+    batches = parts_for(some, "text", BATCH_MB)
+    # partitions follow the session's setting, not the data; each takes its batches and shards one after the other
+    parts = min(batches, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    by = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")))
+    dealt = some.withColumn("batch", F.pmod(by, F.lit(batches))).repartition(parts, "batch")
+    named = dealt.groupBy("batch").applyInArrow(_names(spec, batches), MESSAGE)
+    repeated = named.repartition(parts, "to").groupBy("to").applyInArrow(_repeated(spec), MESSAGE)
+    sent = dealt.groupBy("batch").cogroup(repeated.repartition(parts, "batch").groupBy("batch")).applyInArrow(_send(spec, batches), MESSAGE)
+    answers = sent.repartition(parts, "to").groupBy("to").applyInArrow(_answer(spec), MESSAGE)
+    done = dealt.groupBy("batch").cogroup(answers.repartition(parts, "batch").groupBy("batch")).applyInArrow(_finish(spec, digest), schema)
+    return done.unionByName(slim.where(size < spec.least).mapInArrow(whole, schema))

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspan.llm._repeats import HOT, Spec, Units, remove_repeats
+from larkspan.llm._repeats import HOT, Spec, remove_repeats, without
 from larkspan.llm._shared import table
 
 
@@ -20,17 +20,9 @@ class _Kept:
         self.columns = ["n_words", "n_removed", "text" if text else "kept_sha256"]
         self.types = [pa.int64(), pa.int64(), pa.string()]
 
-    def __call__(self, units: Units, a: int, b: int, gone: np.ndarray) -> tuple:
-        removed = int(gone.sum())
-        if b == a:
-            kept = b""
-        elif not removed:
-            kept = units.buffer[units.start[a] : units.end[b - 1]]
-        else:
-            edge = np.diff(np.r_[True, gone, True].astype(np.int8))
-            first, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-            kept = b" ".join([units.buffer[units.start[a + x] : units.end[a + y - 1]] for x, y in zip(first.tolist(), stop.tolist())])
-        return b - a, removed, kept.decode("utf-8") if self.text else hashlib.sha256(kept).hexdigest()
+    def __call__(self, text: bytes, n: int, gone: np.ndarray | None) -> tuple:
+        kept = without(text, gone, True)
+        return n, 0 if gone is None else int(gone.sum()), kept.decode("utf-8") if self.text else hashlib.sha256(kept).hexdigest()
 
 
 def dedup_words(docs: DataFrame, window: int = 35, text: bool = False, hot: int = HOT) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspan.llm._repeats import HOT, Spec, Units, remove_repeats
+from larkspan.llm._repeats import HOT, Spec, remove_repeats, without
 from larkspan.llm._shared import table
 
 
@@ -20,12 +20,10 @@ class _Kept:
         self.columns = ["n_bytes", "n_removed", "n_spans", "text" if text else "kept_sha256"]
         self.types = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
 
-    def __call__(self, units: Units, a: int, b: int, gone: np.ndarray) -> tuple:
-        whole = units.buffer[a:b]
-        removed = int(gone.sum())
-        kept = whole if not removed else np.frombuffer(whole, np.uint8)[~gone].tobytes()
-        spans = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
-        return b - a, removed, spans, kept.decode("utf-8", "replace") if self.text else hashlib.sha256(kept).hexdigest()
+    def __call__(self, text: bytes, n: int, gone: np.ndarray | None) -> tuple:
+        kept = without(text, gone, False)
+        spans = 0 if gone is None else int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
+        return n, n - len(kept), spans, kept.decode("utf-8", "replace") if self.text else hashlib.sha256(kept).hexdigest()
 
 
 def dedup_bytes(docs: DataFrame, length: int = 100, text: bool = False, hot: int = HOT) -> DataFrame:

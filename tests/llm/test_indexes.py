@@ -87,3 +87,19 @@ def test_equal_windows_of_periodic_texts():
             content = [part.buffer[s : s + 100] for s in at]
             assert _repeats._equal_classes(part, spec, at).tolist() == [content.index(c) for c in content]
     assert len(starts)
+
+
+def test_matching_statistics():
+    rng = np.random.default_rng(6)
+    for length in (1, 3, 8, 35):
+        texts = [rng.integers(1, 3, n) for n in (60, 1, 44, 20)]
+        size = np.array([len(t) for t in texts])
+        start = np.cumsum(size + 1) - size - 1
+        joined = np.concatenate([np.r_[t, 0] for t in texts])
+        weight = np.array([1, 2, 1, 1])
+        got = FmIndex(joined, 3, length).statistics(joined, start, size, np.repeat(weight, size + 1))
+        for t, s in zip(texts, start.tolist()):
+            for k in range(len(t)):
+                many = lambda n: sum(w * sum(tuple(x[j : j + n]) == tuple(t[k : k + n]) for j in range(len(x) - n + 1)) for x, w in zip(texts, weight.tolist()))
+                want = max((n for n in range(1, min(length, len(t) - k) + 1) if many(n) > 1), default=0)
+                assert got[s + k] == want
