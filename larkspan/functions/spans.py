@@ -45,7 +45,7 @@ def find(text: Column, pattern: str, label: str) -> Column:
     return F.when(text.rlike(p), F.aggregate(found, start, step, lambda acc: acc["out"])).otherwise(no_spans())
 
 
-def _ranked(spans: Column, *by: Callable[[Column], Column]) -> Column:
+def ranked(spans: Column, *by: Callable[[Column], Column]) -> Column:
     """Sorted by the keys, then by the order they come in."""
     keyed = F.transform(spans, lambda e, i: F.struct(*[k(e).alias(f"k{n}") for n, k in enumerate(by)], i.alias("seq"), e.alias("e")))
     return F.transform(F.array_sort(keyed), lambda x: x["e"])
@@ -61,13 +61,13 @@ def overlap(a: Column, b: Column) -> Column:
 
 
 def by_start(spans: Column) -> Column:
-    return _ranked(spans, lambda e: e["start"])
+    return ranked(spans, lambda e: e["start"])
 
 
 def resolve_earliest(spans: Column, kind: str = SPANS) -> Column:
     """The earliest start wins, of equal starts the longest, of equal spans the first: no kept spans overlap."""
-    ranked = _ranked(spans, lambda e: e["start"], lambda e: -size_of(e))
-    return F.aggregate(ranked, no_spans(kind), lambda acc, e: F.when((F.size(acc) == 0) | (e["start"] >= F.get(acc, F.size(acc) - 1)["end"]), F.concat(acc, F.array(e))).otherwise(acc))
+    in_order = ranked(spans, lambda e: e["start"], lambda e: -size_of(e))
+    return F.aggregate(in_order, no_spans(kind), lambda acc, e: F.when((F.size(acc) == 0) | (e["start"] >= F.get(acc, F.size(acc) - 1)["end"]), F.concat(acc, F.array(e))).otherwise(acc))
 
 
 def resolve_longest(spans: Column, kind: str = SPANS) -> Column:
@@ -84,7 +84,7 @@ def resolve_longest(spans: Column, kind: str = SPANS) -> Column:
 
 def resolve_scored(spans: Column, kind: str, share: float = 0.5) -> Column:
     """Spans that overlap a kept one by more than the share of the shorter: the higher score stays, on a tie the kept one."""
-    ranked = _ranked(spans, lambda e: e["start"], lambda e: -size_of(e))
+    in_order = ranked(spans, lambda e: e["start"], lambda e: -size_of(e))
 
     def step(acc: Column, e: Column) -> Column:
         hits = F.filter(acc, lambda k: overlap(k, e) > share * F.least(size_of(k), size_of(e)))
@@ -95,7 +95,7 @@ def resolve_scored(spans: Column, kind: str, share: float = 0.5) -> Column:
 
         return let(F.get(hits, F.lit(0)), swap)
 
-    return F.aggregate(ranked, no_spans(kind), step)
+    return F.aggregate(in_order, no_spans(kind), step)
 
 
 def drop_overlapping(spans: Column, kept: Column) -> Column:
@@ -123,8 +123,8 @@ def replace(text: Column, spans: Column, new: Callable[[Column], Column]) -> Col
 
 def replace_raw(text: Column, spans: Column, new: Callable[[Column], Column]) -> Column:
     """Text with spans replaced from the last start to the first, overlaps and all, each in the text as it then is."""
-    ranked = _ranked(spans, lambda e: -e["start"])
-    return F.aggregate(ranked, text, lambda acc, e: F.concat(F.substring(acc, F.lit(1), e["start"]), new(e), F.substring(acc, e["end"] + 1, F.length(acc))))
+    in_order = ranked(spans, lambda e: -e["start"])
+    return F.aggregate(in_order, text, lambda acc, e: F.concat(F.substring(acc, F.lit(1), e["start"]), new(e), F.substring(acc, e["end"] + 1, F.length(acc))))
 
 
 def placeholder(e: Column) -> Column:
@@ -145,8 +145,8 @@ def mask_placeholders(text: Column, token: str = MASK) -> Column:
 
 def mask_strings(text: Column, strings: Column, token: str = MASK) -> Column:
     """Every occurrence of the strings, longest first, whatever their case and surroundings."""
-    ranked = F.transform(F.array_sort(F.transform(F.array_distinct(strings), lambda s: F.struct((-F.length(s)).alias("n"), s.alias("s")))), lambda x: x["s"])
-    return F.aggregate(ranked, text, lambda acc, s: F.when(s == "", acc).otherwise(F.regexp_replace(acc, F.concat(F.lit("(?iu)"), quote(s)), F.lit(token))))
+    in_order = F.transform(F.array_sort(F.transform(F.array_distinct(strings), lambda s: F.struct((-F.length(s)).alias("n"), s.alias("s")))), lambda x: x["s"])
+    return F.aggregate(in_order, text, lambda acc, s: F.when(s == "", acc).otherwise(F.regexp_replace(acc, F.concat(F.lit("(?iu)"), quote(s)), F.lit(token))))
 
 
 def quote(s: Column) -> Column:
@@ -156,7 +156,7 @@ def quote(s: Column) -> Column:
 
 def mask_for_export(text: Column, spans: Column) -> Column:
     """By falling start, a span is replaced unless it is invalid for the text as it then is, or reaches over the last start."""
-    ranked = _ranked(spans, lambda e: -e["start"], lambda e: -e["end"])
+    in_order = ranked(spans, lambda e: -e["start"], lambda e: -e["end"])
     start = F.struct(F.lit(2**31 - 1).alias("last"), text.alias("out"))
 
     def step(acc: Column, e: Column) -> Column:
@@ -164,7 +164,7 @@ def mask_for_export(text: Column, spans: Column) -> Column:
         out = F.concat(F.substring(acc["out"], F.lit(1), e["start"]), placeholder(e), F.substring(acc["out"], e["end"] + 1, F.length(acc["out"])))
         return F.struct(F.when(bad, acc["last"]).otherwise(e["start"]).alias("last"), F.when(bad, acc["out"]).otherwise(out).alias("out"))
 
-    return F.aggregate(ranked, start, step, lambda acc: acc["out"])
+    return F.aggregate(in_order, start, step, lambda acc: acc["out"])
 
 
 def tag(text: Column, spans: Column) -> Column:
@@ -226,9 +226,13 @@ def align_free(text: Column, found: Column) -> Column:
 
     def step(acc: Column, p: Column) -> Column:
         n = F.length(p["text"])
-        places = F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(text) - n)), lambda a: (F.substring(text, a + 1, n) == p["text"]) & ~F.exists(acc, lambda e: (a < e["end"]) & (a + n > e["start"])))
-        first = F.get(places, F.lit(0))
-        return F.when(first.isNull() | ~p["label"].isin(*LABELS), acc).otherwise(F.concat(acc, F.array(span(first, first + n, p["label"], p["text"]))))
+        look = lambda at: F.call_function("locate", p["text"], text, at)
+        meets = lambda at: F.filter(acc, lambda e: (at - 1 < e["end"]) & (at - 1 + n > e["start"]))
+        # whatever begins between a place and the end of a span it meets meets that span too
+        later = lambda at, _: let(meets(at), lambda m: F.when((at > 0) & (F.size(m) > 0), look(F.array_max(F.transform(m, lambda e: e["end"])) + 1)).otherwise(at))
+        tries = F.sequence(F.lit(0), F.size(acc))
+        place = F.when(n > 0, F.aggregate(tries, look(F.lit(1)), later)).otherwise(F.lit(0))
+        return let(place, lambda at: F.when((at == 0) | ~p["label"].isin(*LABELS), acc).otherwise(F.concat(acc, F.array(span(at - 1, at - 1 + n, p["label"], p["text"])))))
 
     return by_start(F.aggregate(found, no_spans(), step))
 

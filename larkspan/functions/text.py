@@ -13,10 +13,14 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
 
 
+def _numbered(items: Column) -> Column:
+    """Items with the number of their occurrence."""
+    return let(F.array_sort(items), lambda x: F.transform(x, lambda w, i: F.concat_ws("\u0002", w, (i - F.array_position(x, w)).cast("string"))))
+
+
 def _clipped(a: Column, b: Column) -> Column:
     """Items of a that b holds, each as often as in the one with fewer."""
-    count = lambda x, w: F.size(F.filter(x, lambda v: v == w))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda acc, w: acc + F.least(count(a, w), count(b, w)))
+    return F.size(F.array_intersect(_numbered(a), _numbered(b)))
 
 
 def rouge1(candidate: Column, reference: Column) -> Column:
@@ -59,7 +63,9 @@ def leaked(text: Column, secret: Column) -> Column:
     """Whether a text still holds a string as whole words, in any case. Where the string begins or ends with no word
     character, the word boundary asks for one beside it."""
     pattern = F.concat(F.lit("(?U)\\b"), quote(F.lower(secret)), F.lit("\\b"))
-    return F.coalesce(F.length(F.trim(secret)) > 0, F.lit(False)) & F.regexp_like(F.lower(text), pattern)
+    # few texts hold the string at all: only for those is a pattern made
+    held = F.coalesce(F.length(F.trim(secret)) > 0, F.lit(False)) & F.contains(F.lower(text), F.lower(secret))
+    return F.when(held, F.regexp_like(F.lower(text), pattern)).otherwise(F.when(text.isNotNull(), F.lit(False)))
 
 
 def ratio(part: Column, whole: Column) -> Column:

@@ -10,20 +10,27 @@ from larkspan.functions.text import preview, ratio, words
 from larkspan.schema import LABELS, label_tier
 
 SEPARATOR = "###SEPARATOR###"
+#: Batch numbers whose notes one task numbers.
+STRETCH = 10_000
 _TAG = r"<\s*[A-Z]+\s*>"
 
 
 def parse_batches(batches: DataFrame) -> DataFrame:
     """(batch, meta_temp, content) -> (id, meta_temp, text, entities, raw_content): one row per note of the batches.
 
-    Headers (a line such as **Note 3:** or Notiz 3:) go, notes that are empty or have no tag go, ids count on.
+    Headers (a line such as **Note 3:** or Notiz 3:) go, notes that are empty or have no tag go, ids count on over all
+    batches in the order of their numbers: within stretches of STRETCH batch numbers, and from one stretch to the next by the
+    stretches' counts, so that no task holds more than a stretch or a row for each.
     """
     each = batches.select("batch", "meta_temp", F.posexplode(F.split("content", SEPARATOR)).alias("n", "raw"))
     body = S.strip(F.regexp_replace(S.strip(F.col("raw")), r"^(?iu)\**\s*(?:note|notiz|beispiel)\s*\d*\s*:?\**\s*:?\s*\n?", ""))
     each = each.withColumn("raw_content", body).where((F.col("raw_content") != "") & F.col("raw_content").rlike(_TAG))
     text, entities = S.parse_tags(F.col("raw_content"))
-    number = F.row_number().over(Window.orderBy("batch", "n"))  # ids count over all batches, by contract
-    return each.select(F.format_string("doc_%05d", number).alias("id"), "meta_temp", text.alias("text"), entities.alias("entities"), "raw_content")
+    each = each.withColumn("stretch", F.floor(F.col("batch") / STRETCH))
+    counts = each.groupBy("stretch").agg(F.count("*").alias("size"))
+    before = counts.select("stretch", (F.sum("size").over(Window.orderBy("stretch")) - F.col("size")).alias("before"))
+    number = F.col("before") + F.row_number().over(Window.partitionBy("stretch").orderBy("batch", "n"))
+    return each.join(before, "stretch").select(F.format_string("doc_%05d", number).alias("id"), "meta_temp", text.alias("text"), entities.alias("entities"), "raw_content")
 
 
 def rule_reasons(raw: Column, entities: Column) -> Column:
@@ -130,7 +137,7 @@ def verify_expected(actual: DataFrame, expected: DataFrame) -> DataFrame:
 def split_records(notes: DataFrame, splits: DataFrame) -> DataFrame:
     """Records of each split in the split's order; ids without a record are passed over. splits: (split, ids)."""
     ids = splits.select("split", F.posexplode("ids").alias("pos", "id"))
-    return ids.join(notes, "id")
+    return ids.join(notes, "id").orderBy("split", "pos")
 
 
 def training_examples(notes: DataFrame, system: str) -> DataFrame:

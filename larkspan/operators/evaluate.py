@@ -12,7 +12,8 @@ from larkspan.schema import ALL, LABELS, SPANS, label_tier
 
 def pair(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """Gold documents with their predictions; a document without any has none."""
-    p = predicted.select("id", F.col("entities").cast(SPANS).alias("predicted"))
+    plain = F.transform("entities", lambda e: S.span(e["start"], e["end"], e["label"], e["text"])).cast(SPANS)  # without scores and sources
+    p = predicted.select("id", plain.alias("predicted"))
     g = gold.withColumnRenamed("entities", "gold").withColumn("gold", F.coalesce("gold", S.no_spans()))
     return g.join(p, "id", "left").withColumn("predicted", F.coalesce("predicted", S.no_spans()))
 
@@ -40,7 +41,8 @@ def relaxed_parts(gold: Column, predicted: Column, share: float = 0.5) -> dict[s
     def step(acc: Column, g: Column) -> Column:
         e = g["e"]
         close = lambda p: S.overlap(e, p) / F.nullif(F.least(S.size_of(e), S.size_of(p)), F.lit(0))
-        ranked = F.transform(predicted, lambda p, j: F.when((p["label"] == e["label"]) & ~F.array_contains(acc["used"], j) & (close(p) >= share), F.struct(close(p).alias("r"), (-j).alias("j"))))
+        free = lambda p, j: (p["label"] == e["label"]) & (p["start"] < e["end"]) & (e["start"] < p["end"]) & ~F.array_contains(acc["used"], j)
+        ranked = F.transform(predicted, lambda p, j: F.when(free(p, j), S.let(close(p), lambda r: F.when(r >= share, F.struct(r.alias("r"), (-j).alias("j"))))))
 
         def take(best: Column) -> Column:
             hit = F.struct(F.concat(acc["used"], F.array(-best["j"])).alias("used"), F.concat(acc["hit"], F.array(g["i"])).alias("hit"))
@@ -48,12 +50,15 @@ def relaxed_parts(gold: Column, predicted: Column, share: float = 0.5) -> dict[s
 
         return S.let(F.array_max(F.filter(ranked, lambda x: x.isNotNull())), take)
 
-    done = F.aggregate(numbered, start, step)
-    return {
-        "tp": F.transform(done["hit"], lambda i: _key(F.get(gold, i))),
-        "fp": F.transform(F.filter(predicted, lambda _, j: ~F.array_contains(done["used"], j)), _key),
-        "fn": F.transform(F.filter(gold, lambda _, i: ~F.array_contains(done["hit"], i)), _key),
-    }
+    def parts(done: Column) -> Column:
+        tp = F.transform(done["hit"], lambda i: _key(F.get(gold, i)))
+        fp = F.transform(F.filter(predicted, lambda _, j: ~F.array_contains(done["used"], j)), _key)
+        fn = F.transform(F.filter(gold, lambda _, i: ~F.array_contains(done["hit"], i)), _key)
+        return F.struct(tp.alias("tp"), fp.alias("fp"), fn.alias("fn"))
+
+    # matched once for all three, and not anew for each span that is looked at
+    out = S.let(F.aggregate(numbered, start, step), parts)
+    return {o: out[o] for o in ("tp", "fp", "fn")}
 
 
 MATCHERS = {"strict": strict_parts, "relaxed": relaxed_parts}
@@ -61,12 +66,12 @@ MATCHERS = {"strict": strict_parts, "relaxed": relaxed_parts}
 
 def outcomes(pairs: DataFrame, matching: str = "strict", keep: tuple[str, ...] = ("id",)) -> DataFrame:
     """One row per span: keep..., outcome (tp, fp, fn), start, end, label."""
-    parts = MATCHERS[matching](F.col("gold"), F.col("predicted"))
+    found = F.struct(*[c.alias(o) for o, c in MATCHERS[matching](F.col("gold"), F.col("predicted")).items()])
 
-    def named(outcome: str) -> Column:
+    def named(parts: Column, outcome: str) -> Column:
         return F.transform(parts[outcome], lambda k: F.struct(F.lit(outcome).alias("outcome"), k["start"].alias("start"), k["end"].alias("end"), k["label"].alias("label")))
 
-    every = F.concat(*map(named, parts))
+    every = S.let(found, lambda parts: F.concat(*[named(parts, o) for o in ("tp", "fp", "fn")]))
     return pairs.select(*keep, F.explode(every).alias("o")).select(*keep, "o.*")
 
 
@@ -142,14 +147,15 @@ def misses(pairs: DataFrame) -> DataFrame:
     """Each missed gold span with its category: boundary if a spurious span of its label overlaps it, else label if one of
     another label does, else omission. (id, label, text, start, end, category, fp_labels, fp_texts)"""
     parts = strict_parts(F.col("gold"), F.col("predicted"))
-    rows = pairs.select("id", "text", parts["fp"].alias("fp"), F.explode(parts["fn"]).alias("g"))
+    rows = pairs.select("id", "gold", "predicted", parts["fp"].alias("fp"), F.explode(parts["fn"]).alias("g"))
     meets = F.array_sort(F.filter("fp", lambda p: (F.col("g.start") < p["end"]) & (p["start"] < F.col("g.end"))))
     rows = rows.withColumn("near", meets)
     kind = F.when(F.exists("near", lambda p: p["label"] == F.col("g.label")), "boundary").when(F.size("near") > 0, "label").otherwise("omission")
-    cut = lambda s: F.substring("text", s["start"] + 1, s["end"] - s["start"])
+    # of spans with equal bounds and label the last one's text counts
+    last = lambda spans, k: F.coalesce(F.try_element_at(F.filter(spans, lambda e: _key(e) == k), F.lit(-1))["text"], F.lit(""))
     return rows.select(
-        "id", F.col("g.label").alias("label"), cut(F.col("g")).alias("surface"), F.col("g.start").alias("start"), F.col("g.end").alias("end"), kind.alias("category"),
-        F.array_join(F.transform("near", lambda p: p["label"]), "|").alias("fp_labels"), F.array_join(F.transform("near", cut), "|").alias("fp_texts"),
+        "id", F.col("g.label").alias("label"), last(F.col("gold"), F.col("g")).alias("surface"), F.col("g.start").alias("start"), F.col("g.end").alias("end"), kind.alias("category"),
+        F.array_join(F.transform("near", lambda p: p["label"]), "|").alias("fp_labels"), F.array_join(F.transform("near", lambda p: last(F.col("predicted"), p)), "|").alias("fp_texts"),
     )
 
 
@@ -189,3 +195,20 @@ def token_accuracy(rows: DataFrame, truth: str = "truth", guess: str = "guess")
     """Share of tokens whose labels agree, ignored tokens (label null) left out."""
     each = rows.select(F.explode(F.arrays_zip(F.col(truth).alias("t"), F.col(guess).alias("g"))).alias("x")).where("x.t is not null")
     return each.agg(F.avg((F.col("x.t") == F.col("x.g")).cast("int")).alias("accuracy"), F.count("*").alias("n"))
+
+
+def weighted_f1(pairs: DataFrame) -> DataFrame:
+    """(f1, support): mean of the labels' strict F1, weighted by their gold spans."""
+    rows = by_label(pairs).where("label <> 'OVERALL'").withColumn("support", F.col("tp") + F.col("fn"))
+    return rows.agg(ratio(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("f1"), F.sum("support").alias("support"))
+
+
+def chart_tables(facts_of: DataFrame) -> dict[str, DataFrame]:
+    """What charts show, as tidy tables: pipelines by F1, F1 by tier, and F1 by subset (strict, all labels of each)."""
+    rows = facts_of.where("label = 'OVERALL' and matching = 'strict'")
+    every = rows.where((F.col("subset") == "Overall") & (F.col("tier") == ALL))
+    return {
+        "ranking": every.select("pipeline", "f1", F.rank().over(Window.orderBy(F.desc("f1"))).alias("rank")),
+        "tiers": rows.where("subset = 'Overall'").select("pipeline", "tier", "f1"),
+        "subsets": rows.where(F.col("tier") == ALL).select("pipeline", "subset", "f1"),
+    }

@@ -13,6 +13,8 @@ from larkspan.functions import spans as S
 from larkspan.functions.text import bleu4, edit_distance, leaked, ratio, rouge1
 
 METRICS = ("levenshtein_masked", "rouge1_full", "bleu4_full")
+#: Those and the ones that an embedding model gives.
+ALL_METRICS = (*METRICS, *(f"bertscore_{kind}_{x}" for kind in ("masked", "full") for x in ("p", "r", "f1")))
 
 
 def _scores(original: Column, changed: Column, a: Column, b: Column) -> list[Column]:
@@ -87,3 +89,12 @@ def embedding_match(rows: DataFrame, a: str, b: str, embed: Callable[[], Callabl
             yield pd.DataFrame({"id": part["id"], "precision": [o[0] for o in out], "recall": [o[1] for o in out], "f1": [o[2] for o in out]})
 
     return rows.select("id", a, b).mapInPandas(run, f"id {dict(rows.dtypes)['id']}, precision double, recall double, f1 double")
+
+
+def with_embeddings(metrics: DataFrame, texts: DataFrame, embed: Callable[[], Callable[[list[str]], list[np.ndarray]]]) -> DataFrame:
+    """Metrics by id and (id, text, changed, mask_a, mask_b) -> the metrics with the six scores of ALL_METRICS that need a model."""
+    for kind, a, b in (("masked", "mask_b", "mask_a"), ("full", "changed", "text")):
+        scores = embedding_match(texts, a, b, embed)
+        named = [F.col(c).alias(f"bertscore_{kind}_{x}") for c, x in (("precision", "p"), ("recall", "r"), ("f1", "f1"))]
+        metrics = metrics.join(scores.select("id", *named), "id", "left")
+    return metrics

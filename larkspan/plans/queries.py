@@ -11,6 +11,7 @@ from larkspan.functions import parse as P
 from larkspan.functions import spans as S
 from larkspan.functions import text as T
 from larkspan.operators import corpus, detect, evaluate, judge, leakage, preserve
+from larkspan.operators.patterns import BASE
 from larkspan.plans.notes import SQL, STRICT, notes, predicted
 from larkspan.schema import LABELS, TIERS
 
@@ -137,7 +138,7 @@ def detector_scores(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH m AS (SELECT doc_id AS id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) AS surface FROM documents) SELECT id, surface, count(*) AS n FROM m GROUP BY ALL")
 def document_emails(spark: SparkSession, d: str) -> DataFrame:
     docs = _table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    found = docs.select("id", F.explode(S.find(F.col("text"), detect._MAIL, "EMAIL")).alias("e"))
+    found = docs.select("id", F.explode(S.find(F.col("text"), BASE["EMAIL"][0], "EMAIL")).alias("e"))
     return found.groupBy("id", F.col("e.text").alias("surface")).agg(F.count("*").alias("n"))
 
 
@@ -201,15 +202,14 @@ def parse_methods(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("m.method").agg(F.count("*").alias("n"), F.sum(F.size("m.entities")).alias("entities"))
 
 
-_EVENT_SPANS = "WITH x AS (SELECT user_id AS id, event_id AS seq, CAST(event_id * 7 % 97 AS INTEGER) AS s, CAST(event_id * 7 % 97 + 1 + event_id % 9 AS INTEGER) AS e FROM events WHERE event_id % 3 = 0), l AS (SELECT id, list({'s': s, 'e': e} ORDER BY s, s - e, seq) AS xs FROM x GROUP BY id)"
+_EVENT_SPANS = "WITH x AS (SELECT user_id AS id, event_id AS seq, CAST(event_id * 7 % 97 AS INTEGER) AS s, CAST(event_id * 7 % 97 + 1 + event_id % 9 AS INTEGER) AS e FROM events), l AS (SELECT id, list({'s': s, 'e': e, 'p': (s % 10) / 10.0} ORDER BY s, s - e, seq) AS xs FROM x GROUP BY id)"
 
 
-def _event_spans(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
-    ev = _table(spark, d, "events")
-    ev = ev if every else ev.where("event_id % 3 = 0")  # as in _EVENT_SPANS
+def _event_spans(spark: SparkSession, d: str) -> DataFrame:
     a = (F.col("event_id") * 7 % 97).cast("int")
     e = S.span(a, a + 1 + (F.col("event_id") % 9).cast("int"), F.lit("PER"), F.lit(""))
-    return ev.groupBy(F.col("user_id").alias("id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("event_id", e.alias("e")))), lambda x: x["e"]).alias("spans"))
+    spans = F.transform(F.sort_array(F.collect_list(F.struct("event_id", e.alias("e")))), lambda x: x["e"])
+    return _table(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg(spans.alias("spans"))
 
 
 @query(f"{_EVENT_SPANS}, k AS (SELECT id, list_reduce(list_transform(xs, lambda z: [z]), lambda acc, z: CASE WHEN z[1].s >= acc[-1].e THEN acc || z ELSE acc END) AS kept FROM l), u AS (SELECT id, unnest(kept) AS z FROM k) SELECT id, z.s AS start, z.e AS \"end\" FROM u")
@@ -222,17 +222,21 @@ def overlap_longest(spark: SparkSession, d: str) -> DataFrame:
     return _event_spans(spark, d).select("id", F.explode(S.resolve_longest(F.col("spans"))).alias("e")).select("id", "e.start", "e.end")
 
 
-@query()
+_HITS = "list_filter(acc, lambda k: least(k.e, z[1].e) - greatest(k.s, z[1].s) > 0.5 * least(k.e - k.s, z[1].e - z[1].s))"
+
+
+@query(f"{_EVENT_SPANS}, k AS (SELECT id, list_reduce(list_transform(xs, lambda z: [z]), lambda acc, z: CASE WHEN len({_HITS}) = 0 THEN acc || z WHEN z[1].p > {_HITS}[1].p THEN acc[1:list_position(acc, {_HITS}[1]) - 1] || acc[list_position(acc, {_HITS}[1]) + 1:] || z ELSE acc END) AS kept FROM l), u AS (SELECT id, unnest(kept) AS z FROM k) SELECT id, z.s AS start, z.e AS \"end\", CAST(z.p AS DOUBLE) AS score FROM u")
 def overlap_scored(spark: SparkSession, d: str) -> DataFrame:
     kind = "array<struct<start:int,end:int,label:string,text:string,score:double>>"
     scored = F.transform("spans", lambda e: F.struct(e["start"], e["end"], e["label"], e["text"], (e["start"] % 10 / 10.0).alias("score"))).cast(kind)
-    return _event_spans(spark, d, every=True).select("id", F.explode(S.resolve_scored(scored, kind)).alias("e")).select("id", "e.start", "e.end", "e.score")
+    return _event_spans(spark, d).select("id", F.explode(S.resolve_scored(scored, kind)).alias("e")).select("id", "e.start", "e.end", "e.score")
 
 
-@query()
+# Every structured span is found; words before it lift all scores but the amounts' to 1. Of equal bounds the higher one stays.
+@query(f"{_FOUND} SELECT id, label, CASE label WHEN 'IBAN' THEN 'IBAN_CODE' WHEN 'EMAIL' THEN 'EMAIL_ADDRESS' WHEN 'PHONE' THEN 'CH_PHONE' WHEN 'DATE' THEN 'DATE_TIME' ELSE label END AS recognizer, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS \"end\", CASE label WHEN 'MONEY' THEN 0.85 ELSE 1.0 END::DOUBLE AS score FROM f")
 def registry_detector(spark: SparkSession, d: str) -> DataFrame:
     found = detect.detect_registry(notes(spark, d))
-    return found.select("id", F.explode("entities").alias("e")).groupBy("e.label", "e.recognizer").agg(F.count("*").alias("n"))
+    return found.select("id", F.explode("entities").alias("e")).select("id", "e.label", "e.recognizer", "e.start", "e.end", "e.score")
 
 
 @query(f"{SQL} SELECT source, count(*) AS n FROM (SELECT CASE WHEN label IN ('PER', 'LOC') THEN 'model' ELSE 'patterns' END AS source FROM gold) GROUP BY 1")

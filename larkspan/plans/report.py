@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import textwrap
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+from larkspan.operators import judge, leakage
 
 
 def percent(x: float | None, digits: int = 1) -> str:
@@ -39,3 +41,21 @@ def evaluation(facts: DataFrame, pipeline: str) -> str:
     """Per-label tables of one pipeline's fact rows, by subset, matching and tier."""
     rows = facts.where(f"pipeline = '{pipeline}'").select("subset", "matching", "tier", "label", "tp", "fp", "fn", "precision", "recall", "f1")
     return lines(rows, f"Evaluation of {pipeline}", ["subset", "matching", "tier", "label"])
+
+
+def leakage_report(leaks: DataFrame, pipeline: str) -> str:
+    """Leaked strings of one pipeline: pooled by label and stratum, and by tier."""
+    return "\n\n".join([lines(leakage.pooled(leaks), f"Leakage of {pipeline}", ["label", "meta_temp"]), lines(leakage.pooled_by_tier(leaks), "By tier", ["tier"])])
+
+
+def judge_report(rows: DataFrame, pipeline: str) -> str:
+    return lines(judge.score_summary(rows), f"Scores of {pipeline}", ["score"])
+
+
+def attack_report(attacks: DataFrame) -> str:
+    return "\n\n".join([lines(judge.attack_summary(attacks), "Inference attacks"), lines(judge.attribute_rates(attacks), "By attribute", ["pipeline", "attribute"])])
+
+
+def save(text: str, path: str, spark: SparkSession) -> None:
+    """A report as one text file of a folder."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)

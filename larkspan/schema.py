@@ -9,24 +9,40 @@ SPAN = "struct<start:int,end:int,label:string,text:string>"
 SPANS = f"array<{SPAN}>"
 SCORED = "array<struct<start:int,end:int,label:string,text:string,score:double,recognizer:string>>"
 
-TIERS = {1: "PER LOC ORG".split(), 2: "IBAN EMAIL PHONE DATE MONEY".split(), 3: "JOB AGE NATION EDU".split()}
-LABELS = [label for tier in TIERS.values() for label in tier]
+#: The label vocabulary in its tiers, sampling temperatures by stratum, the attributes of an inference attack
+#: with their tiers, words for nothing, and what other vocabularies' labels are called here.
+TIERS = {
+    1: ["PER", "LOC", "ORG"],
+    2: ["IBAN", "EMAIL", "PHONE", "DATE", "MONEY"],
+    3: ["JOB", "AGE", "NATION", "EDU"],
+}
+LABELS = ["PER", "LOC", "ORG", "IBAN", "EMAIL", "PHONE", "DATE", "MONEY", "JOB", "AGE", "NATION", "EDU"]
 ALL = "All Categories"
 STRATA = {0.30: "Low", 0.70: "Medium", 0.85: "High"}
 LIST_ATTRIBUTES = ("person", "organization")
 ATTRIBUTES = {"person": 1, "age": 3, "location": 1, "occupation": 3, "education": 3, "nationality": 3, "organization": 1}
 NULL_WORDS = ("", "unknown", "none", "null", "n/a", "-")
-
-_NER = {"PER": "PER", "PERSON": "PER", "LOC": "LOC", "GPE": "LOC", "ORG": "ORG"}
 LABEL_MAPS = {
-    "small_ner": _NER,
-    "token_ner": _NER | {"LOCATION": "LOC", "ORGANIZATION": "ORG"},
+    "small_ner": {"PER": "PER", "PERSON": "PER", "LOC": "LOC", "GPE": "LOC", "ORG": "ORG"},
+    "token_ner": {"PER": "PER", "PERSON": "PER", "LOC": "LOC", "LOCATION": "LOC", "GPE": "LOC", "ORG": "ORG", "ORGANIZATION": "ORG"},
     "registry": {
-        "NRP": "NATION", "NATIONALITY": "NATION", "AGE": "AGE", "EDUCATION": "EDU", "JOB_TITLE": "JOB", "CH_IBAN": "IBAN", "IBAN_CODE": "IBAN",
-        "CH_PHONE": "PHONE", "PHONE_NUMBER": "PHONE", "EMAIL_ADDRESS": "EMAIL", "DATE_TIME": "DATE", "MONEY": "MONEY",
-        "PERSON": "PER", "LOCATION": "LOC", "ORGANIZATION": "ORG",
+        "PERSON": "PER",
+        "LOCATION": "LOC",
+        "ORGANIZATION": "ORG",
+        "NRP": "NATION",
+        "EMAIL_ADDRESS": "EMAIL",
+        "PHONE_NUMBER": "PHONE",
+        "IBAN_CODE": "IBAN",
+        "DATE_TIME": "DATE",
+        "CH_IBAN": "IBAN",
+        "CH_PHONE": "PHONE",
+        "MONEY": "MONEY",
+        "JOB_TITLE": "JOB",
+        "AGE": "AGE",
+        "NATIONALITY": "NATION",
+        "EDUCATION": "EDU",
     },
-}
+}
 
 EXPORT = "id bigint, text string, raw_text string, meta_temp string, label array<struct<start:int,end:int,text:string,labels:array<string>>>"
 NOTE = f"id bigint, text string, meta_temp string, entities {SPANS}"

@@ -43,10 +43,11 @@ def named(suffix: str):
     return F.regexp_replace(F.col("_metadata.file_name"), rf"{suffix}\.json$", "")
 
 
-def rewrites(spark: SparkSession, path: str, pipeline: str) -> DataFrame:
-    """(pipeline, id, rewritten); ids that are no numbers stay null, with what they were in raw_id."""
-    raw = _json(spark, path, "id string, rewritten_text string")
-    return raw.select(F.lit(pipeline).alias("pipeline"), F.col("id").try_cast("bigint").alias("id"), F.col("id").alias("raw_id"), F.col("rewritten_text").alias("rewritten"))
+def rewrites(spark: SparkSession, path: str, pipeline: str, lines: bool = False) -> DataFrame:
+    """(pipeline, id, rewritten). Ids are strings, those that are numbers as such ("007" is "7"), others as they are."""
+    raw = _json(spark, path, "id string, rewritten_text string", lines)
+    key = F.coalesce(F.trim("id").try_cast("bigint").cast("string"), F.col("id"))
+    return raw.select(F.lit(pipeline).alias("pipeline"), key.alias("id"), F.col("rewritten_text").alias("rewritten"))
 
 
 _GUESSES = "map<string,struct<guesses:array<string>,confidence:string,reasoning:string>>"
@@ -65,11 +66,11 @@ def truth_cache(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode(F.from_json("value", f"map<string,{_TRUTH}>")).alias("id", "truth")).withColumn("id", F.col("id").cast("bigint"))
 
 
-def document_metrics(spark: SparkSession, path: str, pipeline: str) -> DataFrame:
+def document_metrics(spark: SparkSession, path: str, pipeline: str, lines: bool = False) -> DataFrame:
     """Text metrics by document; a missing file is an empty table."""
     schema = "id bigint, complexity string, levenshtein_masked double, rouge1_full double, bleu4_full double, pii_leaked int, pii_total int"
     try:
-        return _json(spark, path, schema).withColumn("pipeline", F.lit(pipeline))
+        return _json(spark, path, schema, lines).withColumn("pipeline", F.lit(pipeline))
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise

@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch(spark: SparkSession) -> str:
+    """A folder that driver and executors share: the session's checkpoint directory. A local session without one gets a
+    temporary folder; on a cluster that is an error."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if where:
+        return where
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="larkspan-")
+
+
 def json_lines(df: DataFrame, path: str, by: str | None = None, mode: str = "overwrite") -> None:
     w = df.write.mode(mode)
     (w.partitionBy(by) if by else w).json(path)
@@ -20,10 +34,13 @@ def misses_csv(misses: DataFrame, path: str) -> None:
     misses.select(*[F.col(a).alias(b) for a, b in cols.items()]).write.mode("overwrite").option("header", True).csv(path)
 
 
-def array_json(df: DataFrame, path: str) -> None:
-    """One JSON array in one file, for small exports: a partition is a line-joined run, so the file is made by one task."""
-    rows = df.select(F.to_json(F.struct("*")).alias("j")).coalesce(1)
-    body = rows.agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("j"), ",\n"), F.lit("\n]")).alias("value"))
+def array_json(df: DataFrame, path: str, most: int = 100_000) -> None:
+    """One JSON array in one file, for small exports: more than `most` rows are an error, as one task writes it all. Larger
+    tables go to json_lines."""
+    rows = df.select(F.to_json(F.struct("*")).alias("j"))
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows: write JSON lines")
+    body = rows.coalesce(1).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("j"), ",\n"), F.lit("\n]")).alias("value"))
     body.write.mode("overwrite").text(path)
 
 

@@ -214,7 +214,7 @@ def test_readers_and_writers(spark, tmp_path):
     put("a_b_predictions.json", [{"id": 1, "entities": [{"start": 0, "end": 4, "label": "PER", "text": "Anna"}]}])
     assert readers.predictions(spark, f"{tmp_path}/a_b_predictions.json").first().pipeline == "a_b"
     put("rewrites.json", [{"id": "7", "rewritten_text": "y"}, {"id": "doc", "rewritten_text": "z"}])
-    assert [r.id for r in readers.rewrites(spark, f"{tmp_path}/rewrites.json", "p").collect()] == [7, None]
+    assert [r.id for r in readers.rewrites(spark, f"{tmp_path}/rewrites.json", "p").collect()] == ["7", "doc"]
     put("p1_attack_scores.json", [{"id": 1, "complexity": "Low", "ground_truth": {"age": 44}, "attacker_guesses": {}, "match": {"age": "MATCH"}}])
     put("p2_attack_scores.json", [{"id": 1, "match": {}}])
     assert sorted(r.pipeline for r in readers.attacks(spark, f"{tmp_path}/*_attack_scores.json").collect()) == ["p1", "p2"]
