@@ -84,13 +84,16 @@ class GrayIndex:
 
     Level 0 are the fingerprints; every FANOUT neighbours get a node (mask of shared bits, their pattern), those nodes
     get nodes in turn, up to one root a group. A search adds up the differing bits from the root down, each bit once,
-    and drops a node with all below it as soon as the sum passes the radius.
+    and drops a node with all below it as soon as the sum passes the radius, or if all below it bears the query's label.
     """
 
-    def __init__(self, codes: np.ndarray, group: np.ndarray) -> None:
+    def __init__(self, codes: np.ndarray, group: np.ndarray, label: np.ndarray | None = None) -> None:
+        self.label = np.arange(len(codes)) if label is None else label
         full = np.full(len(codes), ~np.uint64(0))
         self.levels = [(codes, full, np.arange(len(codes)), np.arange(1, len(codes) + 1), np.arange(len(codes)) + 1)]
         ones, zeros, owner, last = codes, ~codes, group, np.arange(len(codes)) + 1
+        low = high = self.label
+        self.labels = [(low, high)]
         while True:
             starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             if len(starts) == len(owner):
@@ -101,6 +104,8 @@ class GrayIndex:
             end = np.r_[first[1:], len(owner)]
             owner, last = owner[first], last[end - 1]
             self.levels.append((ones, ones | zeros, first, end, last))
+            low, high = np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
+            self.labels.append((low, high))
         self.roots = owner
 
     def links(self, codes: np.ndarray, root: np.ndarray, radius: int, block: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -119,7 +124,9 @@ class GrayIndex:
                     query, seen, far = query[pick], seen[pick], far[pick]
                 fresh = mask[node] & ~seen
                 far = far + np.bitwise_count((codes[query] ^ pattern[node]) & fresh)
-                keep = (far <= radius) & (last[node] > query + 1)
+                low, high = self.labels[level]
+                own = self.label[query]
+                keep = (far <= radius) & (last[node] > query + 1) & ((low[node] != own) | (high[node] != own))
                 query, node, seen, far = query[keep], node[keep], (seen | fresh)[keep], far[keep]
             found = node > query
             yield query[found], node[found]
@@ -240,168 +247,177 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, limit: i
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Fingerprints of a signature, bits of a table's key, and further fingerprints that neighbours are compared by at once.
-SIGNATURE, KEY_BITS, MORE = 16, 16, 5
-#: The fingerprints of a signature whose tables each round looks through, and how many neighbours in Gray order it compares
-#: (None: all rows of a key). The first rounds only link large groups early; the last one searches every table whole.
-ROUNDS = ((range(0, 1), 2), (range(1, 4), 8), (range(0, SIGNATURE), None))
-#: Pairs of rows that are compared at a time, and bits of the filter that picks texts to verify.
-PAIRS, FILTER_BITS = 1 << 18, 1 << 25
-_SEEDS = np.random.default_rng(64).integers(1, 1 << 63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bands of a text's least shingle hashes, and hashes of a band.
+BANDS, BAND = 12, 5
+#: Bits that two fingerprints of one block may differ in: at similarity 0.8 about 10 of 64, less than 3.2 deviations over 12.
+RADIUS = 22
+#: Rows and bytes of text of a block of a key, at most about.
+BLOCK, BLOCK_BYTES = 2048, 16 << 20
+#: The bands that each round looks at, and whether all blocks of a crowded key meet. The first round links what is nearest, so
+#: that large groups are one by the last, which looks at everything.
+ROUNDS = ((2, False), (BANDS, True))
+#: Bits of the filter that picks texts to verify.
+FILTER_BITS = 1 << 23
+_SEEDS = np.random.default_rng(64).integers(1, 1 << 63, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def signature(text: bytes, shingle: int = 5) -> bytes:
-    """SIGNATURE fingerprints of a text's distinct shingles; no words: zeros."""
+def shingles(text: bytes, shingle: int = 5) -> set[bytes]:
+    """A text's distinct sequences of `shingle` words; one of all its words, if it has fewer."""
+    words = text.lower().split()
+    return {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
+
+
+def shingle_hashes(text: bytes, shingle: int = 5) -> np.ndarray:
+    """Hashes of a text's distinct shingles, rising."""
     words = text.lower().split()
-    n = len(words) - shingle + 1
     if not words:
-        return bytes(8 * SIGNATURE)
-    line = b" ".join(words)
+        return np.zeros(0, np.uint64)
+    line, n = b" ".join(words), len(words) - shingle + 1
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[: n - 1] + 1]).tolist() if n > 1 else [0]
     stops = ends[shingle - 1 :].tolist() if n > 1 else [len(line)]
     digest = xxhash.xxh64_intdigest
-    base = np.unique(np.array([digest(line[a:b], 42) for a, b in zip(starts, stops)], np.uint64))
-    out = []
-    for seed in _SEEDS:
-        x = base * seed
-        x ^= x >> np.uint64(32)
-        x *= np.uint64(0xD6E8FEB86659FD93)
-        x ^= x >> np.uint64(32)
-        rows = x.view(np.uint8).reshape(-1, 8)
-        out.append(np.packbits(2 * np.concatenate([np.bincount(rows[:, k], minlength=256) @ _BYTE_BITS for k in range(8)]) > len(x), bitorder="little"))
-    return np.concatenate(out).tobytes()
+    return np.unique(np.array([digest(line[a:b], 42) for a, b in zip(starts, stops)], np.uint64))
 
 
-#: Columns of the tables: key, fingerprint, further ones, signature, and root of its group so far.
-TABLE = ["k", "fp", *(f"m{m}" for m in range(MORE)), "node", "root"]
-
-
-def _tables(words: range):
-    """Some of a signature's fingerprints, each under each of its blocks of KEY_BITS bits, with MORE others for comparison."""
-    per = 64 // KEY_BITS
-
+def _votes(hashes: np.ndarray) -> int:
+    """SimHash of distinct hashes, as a signed number."""
+    if not len(hashes):
+        return 0
+    rows = hashes.view(np.uint8).reshape(-1, 8)
+    ones = np.concatenate([np.bincount(rows[:, k], minlength=256) @ _BYTE_BITS for k in range(8)])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
+def _bands(hashes: np.ndarray) -> list[int]:
+    """A key for each band: two texts of similarity j agree on it with a chance of j to the power BAND."""
+    if not len(hashes):
+        return []
+    least = np.full(len(_SEEDS), np.iinfo(np.uint64).max, np.uint64)
+    for a in range(0, len(hashes), 8192):
+        x = hashes[a : a + 8192, None] * _SEEDS
+        x ^= x >> np.uint64(29)
+        least = np.minimum(least, x.min(axis=0))
+    out = np.arange(BANDS, dtype=np.uint64)
+    for x in least.reshape(BANDS, BAND).T:
+        out = (out ^ x) * np.uint64(0xD6E8FEB86659FD93)
+        out ^= out >> np.uint64(32)
+    return out.view(np.int64).tolist()
+
+
+def _sign(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            all_ = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(batch.num_rows, SIGNATURE)
-            fps = all_[:, words]
-            keys = np.stack([(fps >> np.uint64(KEY_BITS * b)) & np.uint64((1 << KEY_BITS) - 1) for b in range(per)], axis=2).astype(np.int64)
-            keys += (np.array(words)[None, :, None] * per + np.arange(per)[None, None, :]) << KEY_BITS
-            others = [all_[:, [(w + m * SIGNATURE // (MORE + 1)) % SIGNATURE for w in words]] for m in range(MORE + 1)]
-            bits = [np.repeat(x[:, :, None], per, axis=2).ravel().view(np.int64) for x in others]
-            node, root = (np.repeat(np.asarray(batch.column(i)), len(words) * per) for i in (0, 2))
-            yield pa.RecordBatch.from_arrays([pa.array(a) for a in (keys.ravel(), *bits, node, root)], TABLE)
+        for rows, texts in row_slices(batches, "text"):
+            out = []
+            for t in texts:
+                own = shingle_hashes(t, shingle)
+                whole = xxhash.xxh3_128_digest(own.tobytes())
+                out.append((*np.frombuffer(whole, np.int64).tolist(), len(t), _votes(own), _bands(own)))
+            cols = [rows.column(rows.schema.get_field_index(c)) for c in KEY]
+            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([*cols, *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], [*KEY, "s1", "s2", "size", "fp", "bands"])
 
     return run
 
 
-def _neighbours(most: int, reach: int):
-    """Rows of a table in Gray order under each key: neighbours up to `reach` rows away that are not linked yet and whose
-    fingerprints differ in few bits together, with their roots."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64) for _ in TABLE]
-        for batch in batches:
-            seen = len(held[0])
-            held = [np.r_[a, np.asarray(batch.column(i))] for i, a in enumerate(held)]
-            k, *bits, node, root = held
-            found = []
-            for d in range(1, reach + 1):
-                j = np.arange(max(d, seen), len(k))
-                j = j[k[j] == k[j - d]]
-                if not len(j):
-                    break
-                j = j[root[j] != root[j - d]]
-                j = j[sum(np.bitwise_count((x[j] ^ x[j - d]).view(np.uint64)).astype(np.int64) for x in bits) <= most]
-                found.append(np.stack([node[j], node[j - d], root[j], root[j - d]]))
-            if found:
-                x = np.concatenate(found, axis=1)
-                x = np.unique(np.where(x[0] > x[1], x, x[[1, 0, 3, 2]]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(c.copy()) for c in x], ["u", "v", "ru", "rv"])
-            held = [a[-reach:] for a in held]
-
-    return run
-
+def _blocks(named: DataFrame, bands: int, cross: bool, block: int) -> DataFrame:
+    """(node, root, size, bands) -> (node, root, k, b, side): rows of the keys that hold several roots, in blocks.
 
-def _across(most: int):
-    """Rows of a table sorted by key and root: all pairs of a key with different roots whose fingerprints differ in few bits."""
-
-    def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        k, *bits, node, root = rows
-        order = np.arange(len(k))
-        same = np.r_[k[1:] == k[:-1], False]
-        ends = np.flatnonzero(~same) + 1
-        end = ends[np.searchsorted(ends, order, side="right")]
-        turns = np.flatnonzero(np.r_[~(same[:-1] & (root[1:] == root[:-1])), True]) + 1
-        start = turns[np.searchsorted(turns, order, side="right")]  # first row of the key's next root
-        width = np.maximum(end - start, 0)
-        total = np.cumsum(width)
-        for a in range(0, int(total[-1]), PAIRS):
-            # the pairs numbered a and up, row by row: a row with very many is cut as well
-            number = np.arange(a, min(a + PAIRS, int(total[-1])))
-            i = np.searchsorted(total, number, side="right")
-            j = start[i] + number - (total[i] - width[i])
-            far = np.bitwise_count((bits[0][i] ^ bits[0][j]).view(np.uint64)).astype(np.int64)
-            for x in bits[1:]:
-                near = far <= most
-                i, j, far = i[near], j[near], far[near]
-                far = far + np.bitwise_count((x[i] ^ x[j]).view(np.uint64))
-            i, j = i[far <= most], j[far <= most]
-            if len(i):
-                x = np.stack([node[i], node[j], root[i], root[j]])
-                x = np.unique(np.where(x[0] > x[1], x, x[[1, 0, 3, 2]]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(c.copy()) for c in x], ["u", "v", "ru", "rv"])
+    A key's rows are one block if they are few. If not, they are dealt into parts: each is a block (not cross), or each two
+    of them are, but for those of the key's largest root (side 1), which are linked: they meet the others' parts only.
+    """
+    keys = named.select("node", "root", "size", F.explode(F.slice("bands", 1, bands)).alias("k"))
+    per = keys.groupBy("k", "root").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    groups = per.groupBy("k").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.max(F.struct("n", "s", "root")).alias("top")).where("roots > 1")
+    parts = lambda n, s: F.greatest(F.lit(1), F.ceil(n / block), F.ceil(s / BLOCK_BYTES)).cast("int")
+    top, n, s = F.col("top"), F.col("n"), F.col("s")
+    groups = groups.select("k", top["root"].alias("top"), parts(n, s).alias("all"), parts(top["n"], top["s"]).alias("own"), parts(n - top["n"], s - top["s"]).alias("rest"))
+    rows = keys.join(groups, "k")
+    side = (F.col("root") == F.col("top")).cast("int")
+    part = lambda of: F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
+    if not cross:
+        return rows.select("node", "root", "k", part("all").alias("b"), F.lit(0).alias("c"), F.lit(-1).alias("side"))
+    pair = lambda b, c: F.struct(b.alias("b"), c.alias("c"))
+    low, high = (lambda c: F.least(part("rest"), c)), (lambda c: F.greatest(part("rest"), c))
+    own, rest = F.sequence(F.lit(0), F.col("own") - 1), F.sequence(F.lit(0), F.col("rest") - 1)
+    among = F.transform(rest, lambda c: pair(low(c), high(c)))
+    against = F.transform(own, lambda c: pair(-1 - c, part("rest")))
+    mine = F.transform(rest, lambda c: pair(-1 - part("own"), c))
+    where = F.when(F.col("all") == 1, F.array(pair(F.lit(0), F.lit(0)))).when(side == 1, mine).otherwise(F.concat(among, against))
+    return rows.select("node", "root", "k", F.explode(where).alias("w"), F.when(F.col("all") == 1, F.lit(-1)).otherwise(side).alias("side")).select("node", "root", "k", "w.b", "w.c", "side")
+
+
+def _link(shingle: int, similarity: float, radius: int):
+    """Streams rows (k, b, c, side, node, root, fp, text) sorted by block -> links (u, v) between roots of alike texts."""
+
+    def solve(rows: list[tuple]) -> pa.RecordBatch:
+        group = np.cumsum([0, *(a[:3] != b[:3] for a, b in zip(rows, rows[1:]))])
+        codes = np.array([r[6] for r in rows], np.int64).view(np.uint64)
+        order = np.lexsort((_gray_rank(codes), group))
+        rows, codes, group = [rows[i] for i in order.tolist()], codes[order], group[order]
+        roots, label = np.unique([r[5] for r in rows], return_inverse=True)
+        side = np.array([r[3] for r in rows])
+        index = GrayIndex(codes, group, label)
+        link, held = np.arange(len(roots)), {}
+
+        def find(x: int) -> int:
+            while link[x] != x:
+                link[x] = x = link[link[x]]
+            return int(x)
+
+        def own(i: int) -> np.ndarray:
+            node = rows[i][4]
+            if node not in held:
+                held[node] = shingle_hashes(rows[i][7], shingle)
+            return held[node]
+
+        found = []
+        for i, j in index.links(codes, np.searchsorted(index.roots, group), radius):
+            keep = (label[i] != label[j]) & ((side[i] != side[j]) | (side[i] < 0) | np.array([rows[x][1] >= 0 for x in i.tolist()], bool))
+            order = np.argsort(i[keep], kind="stable")
+            i, j = i[keep][order], j[keep][order]
+            for a, others in zip(i[edge := np.flatnonzero(np.r_[True, i[1:] != i[:-1]])] if len(i) else [], np.split(j, edge[1:]) if len(i) else []):
+                x, others = own(int(a)), others.tolist()
+                for some in (others[n : n + 64] for n in range(0, len(others), 64)):
+                    some = [o for o in some if find(label[o]) != find(label[a])]
+                    sets = [own(o) for o in some]
+                    fits = [k for k, y in enumerate(sets) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) - 1e-9]
+                    some, sets = [some[k] for k in fits], [sets[k] for k in fits]
+                    if not some:
+                        continue
+                    size = np.array([len(y) for y in sets])
+                    every = np.concatenate(sets)
+                    same = x[np.minimum(np.searchsorted(x, every), len(x) - 1)] == every
+                    both = np.add.reduceat(same, np.cumsum(size) - size, dtype=np.int64)
+                    for k in np.flatnonzero(both >= similarity * (len(x) + size - both) - 1e-9).tolist():
+                        u, v = find(label[a]), find(label[some[k]])
+                        if u != v:
+                            link[max(u, v)] = min(u, v)
+                            found.append((roots[u], roots[v]))
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+        held: list[tuple] = []
+        size = 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = [np.asarray(batch.column(i)) for i in range(len(TABLE))]
-            at = int(np.searchsorted(now[0], now[0][-1]))  # rows of the last key wait for the rest of it
-            if held and (at or held[-1][0][-1] != now[0][0]):
-                yield from pairs([np.concatenate(c) for c in zip(*held, [x[:at] for x in now])])
-                held = []
-            elif at:
-                yield from pairs([x[:at] for x in now])
-            held.append([x[at:] for x in now])
+            cols = [c.to_pylist() for c in batch.columns[:7]] + [batch.column(7).cast(pa.large_binary()).to_pylist()]
+            for row in zip(*cols):
+                if size > BLOCK_BYTES // 8 and row[:3] != held[-1][:3]:
+                    yield solve(held)
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[7]) + 256
         if held:
-            yield from pairs([np.concatenate(c) for c in zip(*held)])
-
-    return run
-
-
-def shingles(text: bytes, shingle: int = 5) -> set[bytes]:
-    """A text's distinct sequences of `shingle` words; one of all its words, if it has fewer."""
-    words = text.lower().split()
-    return {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
-
-
-def _alike(shingle: int, similarity: float):
-    """(ru, rv, tu, tv) -> (ru, rv): the pairs of texts whose Jaccard similarity reaches the limit."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, set())
-        for batch in batches:
-            keep = []
-            for u, v in zip(batch.column(2), batch.column(3)):
-                u, v = u.as_py().encode(), v.as_py().encode()
-                last = last if last[0] == u else (u, shingles(u, shingle))
-                a, b = last[1], shingles(v, shingle)
-                both = len(a & b)
-                keep.append(both >= similarity * (len(a) + len(b) - both) - 1e-9)
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            yield solve(held)
 
     return run
 
 
-def _texts_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(node, text) of the nodes in pairs. A bit filter over the hashes of texts keeps most others out of the shuffle."""
-    named = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    named = cut(named.join(nodes.select("node", "rep.*"), "node"))
-    slots = np.asarray(named.select(F.pmod("h", F.lit(FILTER_BITS)).alias("b")).distinct().toArrow().column(0).combine_chunks())
+def _texts_of(docs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, text) of the nodes in rows. A bit filter over the hashes of texts, at most FILTER_BITS numbers that reach the
+    driver, keeps most others out of the shuffle."""
+    named = cut(rows.select("node").distinct().join(nodes.select("node", "rep.z", "rep.i", "rep.h"), "node"))
+    slots = np.asarray(named.select(F.pmod("h", F.lit(FILTER_BITS)).cast("int").alias("b")).distinct().toArrow().column(0).combine_chunks())
     there = np.zeros(FILTER_BITS, bool)
     there[slots] = True
     packed, bits = np.packbits(there, bitorder="little"), FILTER_BITS
@@ -412,53 +428,34 @@ def _texts_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
             yield batch.filter(pa.array((packed[b >> 3] >> (b & 7).astype(np.uint8)) & 1 == 1))
 
     slim = keyed(docs).select(*KEY, "text").mapInArrow(some, "z boolean, i long, h long, text string")
-    return cut(slim.join(named, KEY).select("node", "text").dropDuplicates(["node"]))
+    return slim.join(named, KEY).select("node", "text").dropDuplicates(["node"])
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
     """The documents, all columns, without near copies: of each group the one of smallest doc_id (nulls last, then by a
     hash of the text) stays.
 
-    Near copies share `similarity` of their distinct `shingle`-word sequences or more (Jaccard); every link is decided by
-    the texts' own sequences. Candidates come from a signature of 1024 SimHash bits, in which two sets of Jaccard j differ
-    in arccos(2j / (1 + j)) / pi of the bits (at 0.8, sets of four and five in 3/16): rows that agree on one of 64 tables'
-    16-bit keys are compared, all of them with different roots, and go on if they differ by up to three deviations more. A
-    pair of similarity 0.8 agrees on no key with a chance of about 1 %, at any size of the table. Texts of equal signature
-    are taken as copies. Every document is in every table; a group that early rounds have linked is not compared with itself.
-    Groups are what links reach. Texts of fewer words are one
-    sequence; null and empty texts are one group. Rows with equal id and text are one document. An empty table stays so.
+    Near copies share `similarity` of their distinct `shingle`-word sequences or more (Jaccard). Texts with the same
+    sequences are one from the start. Others are compared if they share the key of one of BANDS bands, each the least of the
+    sequences' hashes under BAND orders: at similarity 0.8 a pair shares none with a chance of under 1 %, at any size of
+    the table. Under a key, a Gray-order hierarchical index over the texts' SimHash fingerprints drops all rows out of
+    radius and all that are linked already, whole nodes at a time; each pair that is left is decided by the exact share of
+    its sequences' hashes. Every document is in every band; crowded keys are searched whole, in blocks of bounded size.
+    Groups are what links reach. Texts of fewer words are one sequence; null, empty and blank texts are one group. Rows with
+    equal id and text are one document. An empty table stays so. Of very long texts only the distinct sequences' hashes are
+    held. Columns keep their names, whatever they are.
     """
-    share = np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi
-    share = max(share, 3 / 16)
-    local, whole = (int(np.ceil(n * share + 3 * np.sqrt(n * share * (1 - share)))) for n in (64 * (MORE + 1), 64 * SIGNATURE))
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in row_slices(batches, "text"):
-            cols = [rows.column(rows.schema.get_field_index(c)) for c in KEY]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([signature(t, shingle) for t in texts], pa.binary())], [*KEY, "sig"])
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, SIGNATURE) for i in (4, 5))
-            yield batch.select(["u", "v", "ru", "rv"]).filter(pa.array(np.bitwise_count(a ^ b).sum(axis=1) <= whole))
-
-    rows = cut(keyed(docs).select(*KEY, "text").mapInArrow(sign, "z boolean, i long, h long, sig binary").withColumn("node", F.xxhash64("sig")))
-    nodes = cut(rows.groupBy("node").agg(F.min(F.struct(*KEY)).alias("rep"), F.min("sig").alias("sig")))
-    sides = [nodes.select(F.col("node").alias(n), F.col("sig").alias(f"s{n}")) for n in ("u", "v")]
-    named = nodes.withColumn("root", F.col("node"))
-    for words, reach in ROUNDS:  # what one round has linked costs the next ones nothing, so large groups give few pairs
-        dealt = named.select("node", "sig", "root").mapInArrow(_tables(words), ", ".join(f"{c} long" for c in TABLE))
-        order, search = (["root"], _across(local)) if reach is None else ([_rank_column()], _neighbours(local, reach))
-        ordered = dealt.repartition("k").sortWithinPartitions("k", *order)
-        pairs = ordered.mapInArrow(search, "u long, v long, ru long, rv long").distinct()
-        signed = pairs.join(sides[0], "u").join(sides[1], "v").select("u", "v", "ru", "rv", "su", "sv")
-        pairs = cut(signed.mapInArrow(close, "u long, v long, ru long, rv long"))
-        texts = _texts_of(docs, nodes, pairs)
-        faced = pairs.join(texts.select(F.col("node").alias("v"), F.col("text").alias("tv")), "v")
-        faced = faced.join(texts.select(F.col("node").alias("u"), F.col("text").alias("tu")), "u")
-        new = faced.select("ru", "rv", "tu", "tv").mapInArrow(_alike(shingle, similarity), "ru long, rv long").toDF("u", "v")
-        merged = components(new).select(F.col("node").alias("root"), F.col("root").alias("to"))
-        named = named.join(merged, "root", "left").select("node", "sig", "rep", F.coalesce("to", "root").alias("root"))
+    signed = keyed(docs).select(*KEY, "text").mapInArrow(_sign(shingle), "z boolean, i long, h long, s1 long, s2 long, size long, fp long, bands array<long>")
+    sets = signed.groupBy("s1", "s2").agg(F.min(F.struct(*KEY, "size")).alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    nodes = cut(sets.select(F.monotonically_increasing_id().alias("node"), "rep", "fp", "bands"))
+    named = nodes.select("node", "fp", "bands", "rep", F.col("rep.size").alias("size"), F.col("node").alias("root"))
+    for bands, cross in ROUNDS:
+        rows = cut(_blocks(named, bands, cross, block))
+        full = rows.join(named.select("node", "fp"), "node").join(_texts_of(docs, nodes, rows), "node")
+        dealt = full.select("k", "b", "c", "side", "node", "root", "fp", "text").repartition("k", "b", "c").sortWithinPartitions("k", "b", "c")
+        found = dealt.mapInArrow(_link(shingle, similarity, RADIUS), "u long, v long")
+        merged = components(found).select(F.col("node").alias("root"), F.col("root").alias("to"))
+        named = named.join(merged, "root", "left").select("node", "fp", "bands", "rep", "size", F.coalesce("to", "root").alias("root"))
     kept = named.groupBy(F.col("root").alias("g")).agg(F.min("rep").alias("rep"))
     names = [f"{k}__key" for k in KEY]
     kept = kept.select(*[F.col(f"rep.{k}").alias(n) for k, n in zip(KEY, names)])

@@ -1,7 +1,8 @@
 from __future__ import annotations
 
+import random
+
 import numpy as np
-import pyarrow as pa
 
 from larkspan.llm import simhash_gray
 
@@ -21,20 +22,49 @@ def test_links_are_decided_by_exact_similarity(spark):
     assert not want - kept and len(kept - want) <= 6  # no key in common: about 1 % of the pairs at the limit
 
 
-def test_crowded_keys_are_searched_whole():
-    rng = np.random.default_rng(2)
-    n = 700
-    k = np.sort(rng.integers(0, 3, n))
-    bits = rng.integers(0, 1 << 62, (simhash_gray.MORE + 1, n))
-    root = rng.integers(0, 600, n)
-    bits[:, 5], bits[:, 190] = 1, 2
-    k[:200], root[5], root[190] = 0, 1, 599  # far apart under one key
-    k.sort()
-    order = np.lexsort((root, k))
-    table = [k[order], *(x[order] for x in bits), np.arange(n)[order], root[order]]
-    batches = [pa.RecordBatch.from_arrays([pa.array(c[a : a + 37]) for c in table], simhash_gray.TABLE) for a in range(0, n, 37)]
-    for most in (12, 185):
-        got = {(u, v) for b in simhash_gray._across(most)(iter(batches)) for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
-        far = np.array([[sum(int(x[i] ^ x[j]).bit_count() for x in bits) for j in range(n)] for i in range(n)]) if most == 12 else far
-        assert got == {(i, j) for i in range(n) for j in range(i) if k[i] == k[j] and root[i] != root[j] and far[i, j] <= most}
-        assert (190, 5) in got
+def _brute(rows, similarity=0.8):
+    """Roots by the exact similarity of all pairs."""
+    sets = {i: simhash_gray.shingles((t or "").encode()) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            a, b = sets[i], sets[j]
+            if len(a & b) >= similarity * len(a | b) - 1e-9 and find(i) != find(j):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return {find(i) for i in ids}
+
+
+def test_crowded_keys_are_searched_whole(spark):
+    """A group of copies some of which are just too far, so that its keys hold many roots, in blocks of one size and of another."""
+    r = random.Random(2)
+    words = [f"w{k}" for k in range(150)]
+    rows = []
+    for i in range(160):
+        own = words.copy()
+        for _ in range(r.choice([1, 2, 3, 5, 6])):
+            own[r.randrange(150)] = f"x{i}.{r.randrange(9)}"
+        rows.append((i, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = _brute(rows)
+    assert 2 < len(want) < 120
+    for block in (2048, 7):
+        kept = {x.doc_id for x in simhash_gray.one_of_each(df, block=block).collect()}
+        assert not want - kept and len(kept - want) <= 2  # a pair at the limit that shares no key
+
+
+def test_index_passes_over_what_is_linked():
+    rng = np.random.default_rng(5)
+    codes = np.unique(rng.integers(0, 1 << 20, 300, dtype=np.uint64))
+    codes = codes[np.argsort(simhash_gray._gray_rank(codes))]
+    group, label = np.sort(rng.integers(0, 3, len(codes))), rng.integers(0, 4, len(codes))
+    index = simhash_gray.GrayIndex(codes, group, label)
+    got = {p for i, j in index.links(codes, np.searchsorted(index.roots, group), 7, 16) for p in zip(i.tolist(), j.tolist())}
+    want = {(i, j) for j in range(len(codes)) for i in range(j) if group[i] == group[j] and label[i] != label[j] and int(codes[i] ^ codes[j]).bit_count() <= 7}
+    assert got == want
