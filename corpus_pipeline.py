@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from larkspan.llm import decontaminate, line_dedup, packing, simhash_gray, toxicity
-from larkspan.llm._shared import shared_dir, table
+from larkspan.llm._shared import remove, shared_dir, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +52,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each but the last written to the shared folder and read again by the next."""
-    where, docs = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", table(spark, sf_dir, "documents")
+    """All stages over documents, each but the last written to the shared folder and read again by the next. A stage's folder
+    goes once the next one is written; the last one's stays, as the result is read from it."""
+    where, docs, last = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{where}/{name}")
         docs = spark.read.parquet(f"{where}/{name}")
+        if last:
+            remove(spark, last)
+        last = f"{where}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)

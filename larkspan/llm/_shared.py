@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -16,16 +17,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's checkpoint directory, a temporary one only where none is set (local tests)."""
+    """The folder that driver and executors share: the session's checkpoint directory. Where none is set, a local session
+    (as in tests) gets a temporary one; on a cluster that would be a folder of each machine's own, so it is an error."""
     sc = spark.sparkContext
     where = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="larkspan-checkpoint-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(where)
     return where
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared storage."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The frame written once to shared storage; its lineage ends there, so a lost executor costs nothing upstream."""
     shared_dir(df.sparkSession)
