@@ -13,6 +13,8 @@ from larkspan.llm._shared import cut, table
 
 _SPACE = "[\\x20\\x09-\\x0D]+"
 _LANES = 0x0000000100000001
+#: Radius of the search, and the rows that ask: those whose id is divisible by EACH.
+RADIUS, EACH = 3, 100
 
 
 def simhash(texts: DataFrame, *by: str) -> DataFrame:
@@ -114,5 +116,18 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     )
 
 
+def counts_within(docs: DataFrame, radius: int = RADIUS, each: int = EACH) -> DataFrame:
+    """(doc_id, fingerprint, ...) -> the same and n_within: for rows whose id is divisible by `each`, how many rows of the
+    table have a fingerprint within the radius, themselves included; null for other rows. The search is within(): exact,
+    over all rows, through the permuted block tables; equal fingerprints are looked up once."""
+    fp = F.conv("fingerprint", 16, -10).cast("long")
+    rows = cut(docs.withColumn("fp__key", fp))
+    stored = rows.groupBy(F.col("fp__key").alias("fp")).agg(F.count("*").alias("n"))
+    asked = rows.where(F.pmod("doc_id", F.lit(each)) == 0).select(F.col("fp__key").alias("fp"))
+    near = within(asked, stored, radius).join(stored, "fp").groupBy(F.col("query").alias("fp__key")).agg(F.sum("n").alias("n_within"))
+    out = rows.join(near, "fp__key", "left")
+    return out.select(*docs.columns, F.when(F.pmod("doc_id", F.lit(each)) == 0, F.col("n_within")).alias("n_within"))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edited_fingerprints(table(spark, sf_dir, "documents"))
+    return counts_within(edited_fingerprints(table(spark, sf_dir, "documents")))

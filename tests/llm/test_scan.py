@@ -90,6 +90,23 @@ def test_block_tables_find_all(spark):
         assert got == {(a, b) for a in base[:4] for b in base if ((a ^ b) % (1 << 64)).bit_count() <= r}
 
 
+def test_counts_within_match_brute_force(docs):
+    made = fingerprints.edited_fingerprints(docs)
+    rows = {r.doc_id: int(r.fingerprint, 16) for r in made.collect()}
+    got = {r.doc_id: r.n_within for r in fingerprints.counts_within(made, 5, 7).collect()}
+    assert got == {i: sum((x ^ y).bit_count() <= 5 for y in rows.values()) if i % 7 == 0 else None for i, x in rows.items()}
+    assert any(n and n > 1 for n in got.values())
+
+
+def test_a_long_token_is_scored_in_proportion(spark):
+    import time
+
+    df = spark.createDataFrame([(1, "aB3" * 200_000), (2, None)], "doc_id bigint, text string")
+    began = time.time()
+    assert sorted((r.doc_id, r.n_markov) for r in secrets.scan(df).collect())[1] == (2, 0)
+    assert time.time() - began < 60
+
+
 def test_fingerprints_of_odd_tables(odd, nothing):
     rows = fingerprints.edited_fingerprints(odd).collect()
     assert len(rows) == 6 and fingerprints.edited_fingerprints(nothing).count() == 0
