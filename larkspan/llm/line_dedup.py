@@ -34,7 +34,9 @@ def repeated_runs(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, long:
     hashes = F.transform(lines, lambda x: F.xxhash64(x))
     some = keyed(docs).where(F.contains(F.col("text"), F.lit("\n")) | (F.length("text") >= (long or 1 << 31)))
     sizes = F.transform(lines, lambda x: F.length(x) >= long) if long else F.array().cast("array<boolean>")
-    arrays = cut(some.select(*KEY, hashes.alias("l"), sizes.alias("o")).dropDuplicates(KEY))
+    # as many parts as the session's shuffles have: what is small in bytes is heavy in work
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    arrays = cut(some.select(*KEY, hashes.alias("l"), sizes.alias("o")).repartition(parts, *KEY).dropDuplicates(KEY))
     blank = F.xxhash64(F.lit(""))
     window_of = lambda j: F.slice("l", j, F.lit(gram))
     grams = arrays.select(*KEY, "l", "o", F.when(F.size("l") >= gram, F.transform(F.sequence(F.lit(1), F.size("l") - gram + 1), lambda j: F.xxhash64(F.array_join(window_of(j).cast("array<string>"), ",")))).otherwise(F.array().cast("array<bigint>")).alias("g"))
@@ -88,9 +90,9 @@ def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, long: i
     marks = marks.select(*[F.col(k).alias(n) for k, n in zip(KEY, keys)], F.col("runs").alias("runs__key"))
     lines = F.when(F.col("text").isNotNull(), F.split(F.col("text"), "\n", -1))
     joined = own.join(marks, keys, "left")
-    numbered = F.transform(lines, lambda x, p: F.struct((p + 1).alias("p"), x.alias("x")))
-    kept = F.filter(numbered, lambda s: ~F.exists("runs__key", lambda r: s["p"].between(r["a"], r["b"])))
-    left = F.when(F.col("runs__key").isNull(), lines).otherwise(F.transform(kept, lambda s: s["x"]))
+    covered = F.flatten(F.transform("runs__key", lambda r: F.sequence(r["a"], r["b"])))
+    kept = F.array_except(F.sequence(F.lit(1), F.size(lines)), covered)
+    left = F.when(F.col("runs__key").isNull(), lines).otherwise(F.transform(kept, lambda p: F.element_at(lines, p)))
     count = F.coalesce(F.size(lines), F.lit(0))
     out = joined.withColumn("left__key", left)
     gone = (F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size("left__key"))).cast("long")
