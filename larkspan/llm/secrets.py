@@ -66,12 +66,16 @@ def ratios(samples: tuple[tuple[str, int], ...] | None = None) -> list[float]:
 
 
 def _llr(token: Column) -> Column:
-    """Mean log-likelihood ratio of a token's pairs of characters."""
+    """Mean log-likelihood ratio of a token's pairs of characters: split once, so its work follows its length."""
     model = F.split(F.lit(",".join(map(str, ratios()))), ",").cast("array<double>")
-    code = lambda i: F.instr(F.lit(ALPHABET), F.substring(token, i, 1))
-    pairs = F.sequence(F.lit(1), F.length(token) - 1)
-    total = F.aggregate(pairs, F.lit(0.0), lambda acc, i: acc + F.element_at(model, F.greatest(F.lit(1), (code(i) - 1) * len(ALPHABET) + code(i + 1)).cast("int")))
-    return total / (F.length(token) - 1)
+    code = lambda c: F.instr(F.lit(ALPHABET), c)
+    start = F.struct(F.lit(0).alias("last"), F.lit(0.0).alias("sum"))
+
+    def step(acc: Column, c: Column) -> Column:
+        pair = F.element_at(model, F.greatest(F.lit(1), (acc["last"] - 1) * len(ALPHABET) + code(c)).cast("int"))
+        return F.struct(code(c).alias("last"), F.when(acc["last"] > 0, acc["sum"] + pair).otherwise(F.lit(0.0)).alias("sum"))
+
+    return F.aggregate(F.split(token, ""), start, step, lambda acc: acc["sum"]) / (F.length(token) - 1)
 
 
 def _matches(rows: DataFrame, rank: int, kind: str, pattern: str, group: int) -> DataFrame:
