@@ -6,6 +6,7 @@ import re
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -168,14 +169,54 @@ class Packer:
             yield rest
 
 
+class StepGroups:
+    """Deals sequences to groups of about one step's work: `size` ids each, and alike in the work that attention makes.
+
+    A round's sequences, by falling work (the sum of its pieces' squared lengths), each go to the group with the least work
+    so far of those that have room. What does not fill a group waits for the next round.
+    """
+
+    def __init__(self, size: int) -> None:
+        self.size, self.next = size, 0
+        self.wait: list[list[tuple]] = []
+
+    def deal(self, sequences: list[list[tuple]], last: bool = False) -> Iterator[tuple[int, list[tuple]]]:
+        """Sequences of pieces (length, ...) -> (group, sequence)."""
+        every = self.wait + sequences
+        length = [sum(n for n, *_ in s) for s in every]
+        count = -(-sum(length) // self.size) if last else sum(length) // self.size
+        if not count:
+            self.wait = every
+            return
+        work = [sum(n * n for n, *_ in s) for s in every]
+        open_ = [(0, g, 0) for g in range(count)]
+        self.wait = []
+        for i in sorted(range(len(every)), key=lambda i: (-work[i], -length[i], i)):
+            full = []
+            while open_ and open_[0][2] + length[i] > self.size:
+                full.append(heappop(open_))
+            if open_:
+                done, g, used = heappop(open_)
+                heappush(open_, (done + work[i], g, used + length[i]))
+                yield self.next + g, every[i]
+            else:
+                self.wait.append(every[i])
+            for x in full:
+                heappush(open_, x)
+        self.next += count
+        if last and self.wait:  # what no group of the last round had room for
+            yield from self.deal([], True)
+
+
 _encoders: dict[str, Encoder] = {}
 
 
 def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", tiers: tuple[int, ...] = TIERS, group: int = 8, ids: bool = False) -> DataFrame:
     """(doc_id, text, ...) -> one row per piece of a document in a sequence.
 
-    doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier (the sequence's size), step_group (of
-    sequences with group x the longest tier's ids together), and the ids themselves if asked for. A document is its
+    doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier (the sequence's size), step_group (sequences
+    of group x the longest tier's ids together at most, balanced by their attention's work), and the ids themselves if
+    asked for. A document is its
     ids and a final 0; a null or empty text is that 0 alone. Null and repeated ids: each row is packed. An empty table
     gives no rows; other columns are ignored. Each partition packs on its own, without a shuffle: at most one padded
     sequence a partition, and memory for one slice of documents.
@@ -187,20 +228,21 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", tiers: tuple[in
         if vocabulary not in _encoders:
             _encoders[vocabulary] = Encoder(vocabulary)
         encode, packer = _encoders[vocabulary], Packer(tiers)
+        steps = StepGroups(group * packer.window)
         base = TaskContext.get().partitionId() << 40
-        sequence, dealt, known = 0, 0, {}
+        sequence, known = 0, {}
 
-        def rows(sequences: Iterator[list[tuple]]) -> pa.RecordBatch | None:
-            nonlocal sequence, dealt
+        def rows(sequences: Iterator[list[tuple]], last: bool = False) -> pa.RecordBatch:
+            nonlocal sequence
             out = []
-            for pieces in sequences:
+            for step, pieces in steps.deal(list(sequences), last):
                 size, offset = sum(n for n, *_ in pieces), 0
                 for n, key, start in pieces:
                     doc, data = known[key]
                     own = data[4 * start : 4 * (start + n)]
-                    out.append((doc, start, n, zlib.crc32(own), len(data) // 4, base + sequence, offset, size, base + dealt // (group * packer.window), own if ids else None))
+                    out.append((doc, start, n, zlib.crc32(own), len(data) // 4, base + sequence, offset, size, base + step, own if ids else None))
                     offset += n
-                sequence, dealt = sequence + 1, dealt + size
+                sequence += 1
             cols = list(zip(*out)) if out else [[]] * 10
             arrays = [pa.array(c, pa.int64()) for c in cols[:9]]
             if ids:
@@ -215,8 +257,8 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", tiers: tuple[in
                 now.append((key, len(known[key][1]) // 4))
                 key += 1
             yield rows(packer.round(now))
-            known = {k: known[k] for k in {p[1] for p in packer.left}}
-        yield rows(packer.finish())
+            known = {k: known[k] for k in {p[1] for p in packer.left} | {p[1] for s in steps.wait for p in s}}
+        yield rows(packer.finish(), True)
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group"] + ["ids"] * ids
     schema = ", ".join(f"{n} long" if n != "ids" else "ids array<int>" for n in names)

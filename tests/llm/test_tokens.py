@@ -80,3 +80,25 @@ def test_packer_cuts_exactly(seed):
 def test_packing_of_odd_tables(odd, nothing):
     assert sum(r.length for r in packing.pack(odd).collect() if r.doc_tokens == 1) == 2
     assert packing.pack(nothing).count() == 0
+
+
+def test_step_groups_are_balanced():
+    rng = np.random.default_rng(4)
+    steps, seen, groups = packing.StepGroups(64), [], {}
+    for last in (False, False, True):
+        sequences = []
+        for k in range(40):
+            size = int(rng.choice([8, 16, 32]))
+            parts = np.diff(np.r_[0, np.sort(rng.choice(np.arange(1, size), rng.integers(0, 4), replace=False)), size]).tolist()
+            sequences.append([(n, (last, k), 0) for n in parts])
+        seen += sequences
+        for g, s in steps.deal(sequences, last):
+            groups.setdefault(g, []).append(s)
+    dealt = [s for x in groups.values() for s in x]
+    assert sorted(map(str, dealt)) == sorted(map(str, seen)) and not steps.wait
+    length = {g: sum(n for s in x for n, *_ in s) for g, x in groups.items()}
+    assert max(length.values()) <= 64
+    work = lambda xs: sum(n * n for s in xs for n, *_ in s)
+    full = [work(x) for g, x in groups.items() if length[g] == 64]
+    naive = [work(seen[a : a + 4]) for a in range(0, len(seen), 4)]
+    assert np.std(full) < 0.7 * np.std(naive)
