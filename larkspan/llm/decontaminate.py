@@ -18,6 +18,8 @@ _WORD = re.compile(r"\w+")
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: MB of benchmark text that one pass over the documents looks for.
 BLOCK_MB = 4
+#: Words of passages that are aligned at a time.
+CELLS = 1 << 20
 
 
 def words(text: str) -> list[str]:
@@ -173,14 +175,20 @@ class _Finder:
                             jobs.append((r, i, lo, x[lo:reach]))
         best: dict[tuple[int, int], tuple[float, int]] = {}
         jobs.sort(key=lambda j: len(items.words[j[1]]))
-        for a in range(0, len(jobs), 256):
-            some = jobs[a : a + 256]
+        a = 0
+        while a < len(jobs):
+            # passages are filled up to one length: few long ones or many short ones
+            n, widest = 1, len(jobs[a][3])
+            while n < 256 and a + n < len(jobs) and (n + 1) * (widest := max(widest, len(jobs[a + n][3]))) <= CELLS:
+                n += 1
+            some = jobs[a : a + n]
+            a += n
             score, end = smith_waterman([items.words[i] for _, i, _, _ in some], [w for *_, w in some])
             for (r, i, lo, _), s, e in zip(some, score.tolist(), end.tolist()):
                 share = s / (MATCH * len(items.words[i]))
                 if share >= self.threshold:
-                    best[r, i] = max(best.get((r, i), (0.0, 0)), (share, lo + e))
-        return [(r, i, s, e) for (r, i), (s, e) in sorted(best.items())]
+                    best[r, i] = max(best.get((r, i), (0.0, 0)), (share, -lo - e))
+        return [(r, i, s, -e) for (r, i), (s, e) in sorted(best.items())]
 
 
 def _blocks(docs: DataFrame, benchmark: DataFrame, threshold: float) -> Iterator[_Finder]:
@@ -227,7 +235,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5)
     without the commonest by their count in all documents: so few that every alignment that reaches the threshold holds
     one that is left. Around each seed the item is aligned
     (+2, -1, -1); score is the best alignment's share of a full match and is at least the threshold; end_word is
-    where that ends. The test items are taken in blocks of bounded size, each against all rows; one row for each
+    where that ends, of equally good ones the first. Long texts are searched whole, around each seed. The test items are taken in blocks of bounded size, each against all rows; one row for each
     document row and item. Null or empty texts on either side match nothing; null ids are passed on; repeated rows are
     rows of their own; empty tables give no rows; other columns are ignored.
     """
