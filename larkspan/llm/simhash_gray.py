@@ -252,7 +252,7 @@ BANDS, BAND = 12, 5
 #: Bits that two fingerprints of one block may differ in: at similarity 0.8 about 10 of 64, less than 3.2 deviations over 12.
 RADIUS = 22
 #: Rows and bytes of text of a block of a key, at most about.
-BLOCK, BLOCK_BYTES = 2048, 16 << 20
+BLOCK, BLOCK_BYTES = 512, 16 << 20
 #: The bands that each round looks at, and whether all blocks of a crowded key meet. The first round links what is nearest, so
 #: that large groups are one by the last, which looks at everything.
 ROUNDS = ((2, False), (BANDS, True))

@@ -68,3 +68,32 @@ def test_index_passes_over_what_is_linked():
     got = {p for i, j in index.links(codes, np.searchsorted(index.roots, group), 7, 16) for p in zip(i.tolist(), j.tolist())}
     want = {(i, j) for j in range(len(codes)) for i in range(j) if group[i] == group[j] and label[i] != label[j] and int(codes[i] ^ codes[j]).bit_count() <= 7}
     assert got == want
+
+
+def test_near_copies_of_a_whole_table(spark):
+    """Against the exact similarity of all pairs of a table: none goes without a copy at the limit, hardly one is kept."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    sets, holders, root = {i: simhash_gray.shingles((t or "").encode()) for i, t in rows}, {}, {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    linked, pairs = set(), {}
+    for i in sorted(sets):
+        shared = {}
+        for s in sets[i]:
+            for j in holders.setdefault(s, []):
+                shared[j] = shared.get(j, 0) + 1
+            holders[s].append(i)
+        for j, both in shared.items():
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+                pairs[i, j] = sets[i] == sets[j]
+                linked |= {i, j}
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    want = {find(i) for i in root if sets[i]}
+    kept = {r.doc_id for r in simhash_gray.one_of_each(docs).collect() if sets[r.doc_id]}
+    assert {i for i in sets if sets[i]} - kept <= linked and want <= kept
+    assert len(kept - want) <= 0.1 * sum(not same for same in pairs.values()) and not all(pairs.values())
