@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspan.functions import spans as S
+from larkspan.functions.rows import spread
 from larkspan.schema import SPANS
 
 TAIL = ", Ende."
@@ -36,7 +37,7 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, meta_temp, text, entities)."""
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
     nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name")
-    rows = customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = spread(customers, "c_custkey").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
     parts = F.array(*[F.struct(F.lit(h).alias("head"), v.alias("value"), F.lit(x).alias("label")) for h, v, x in segments()])
     start = F.struct(F.lit("").alias("out"), S.no_spans().alias("spans"))
 
