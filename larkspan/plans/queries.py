@@ -237,7 +237,7 @@ def overlap_scored(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{_FOUND} SELECT id, label, CASE label WHEN 'IBAN' THEN 'IBAN_CODE' WHEN 'EMAIL' THEN 'EMAIL_ADDRESS' WHEN 'PHONE' THEN 'CH_PHONE' WHEN 'DATE' THEN 'DATE_TIME' ELSE label END AS recognizer, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS \"end\", CASE label WHEN 'MONEY' THEN 0.85 ELSE 1.0 END::DOUBLE AS score FROM f")
 def registry_detector(spark: SparkSession, d: str) -> DataFrame:
     found = detect.detect_registry(notes(spark, d))
-    return found.select("id", F.explode("entities").alias("e")).select("id", "e.label", "e.recognizer", "e.start", "e.end", "e.score")
+    return found.select("id", each(F.col("entities")).alias("e")).select("id", "e.label", "e.recognizer", "e.start", "e.end", "e.score")
 
 
 @query(f"{SQL} SELECT source, count(*) AS n FROM (SELECT CASE WHEN label IN ('PER', 'LOC') THEN 'model' ELSE 'patterns' END AS source FROM gold) GROUP BY 1")

@@ -42,3 +42,7 @@ def test_notes_are_made_in_many_tasks(spark, tables):
 
 def test_pattern_detector_makes_each_note_once(spark, tables):
     assert _made(queries.pattern_detector(spark, tables)) == 1
+
+
+def test_registry_detector_makes_each_note_once(spark, tables):
+    assert _made(queries.registry_detector(spark, tables)) == 1
