@@ -48,7 +48,7 @@ def find(text: Column, pattern: str, label: str) -> Column:
 def ranked(spans: Column, *by: Callable[[Column], Column]) -> Column:
     """Sorted by the keys, then by the order they come in."""
     keyed = F.transform(spans, lambda e, i: F.struct(*[k(e).alias(f"k{n}") for n, k in enumerate(by)], i.alias("seq"), e.alias("e")))
-    return F.transform(F.array_sort(keyed), lambda x: x["e"])
+    return F.transform(F.sort_array(keyed), lambda x: x["e"])
 
 
 def size_of(e: Column) -> Column:
@@ -145,7 +145,7 @@ def mask_placeholders(text: Column, token: str = MASK) -> Column:
 
 def mask_strings(text: Column, strings: Column, token: str = MASK) -> Column:
     """Every occurrence of the strings, longest first, whatever their case and surroundings."""
-    in_order = F.transform(F.array_sort(F.transform(F.array_distinct(strings), lambda s: F.struct((-F.length(s)).alias("n"), s.alias("s")))), lambda x: x["s"])
+    in_order = F.transform(F.sort_array(F.transform(F.array_distinct(strings), lambda s: F.struct((-F.length(s)).alias("n"), s.alias("s")))), lambda x: x["s"])
     return F.aggregate(in_order, text, lambda acc, s: F.when(s == "", acc).otherwise(F.regexp_replace(acc, F.concat(F.lit("(?iu)"), quote(s)), F.lit(token))))
 
 
@@ -180,8 +180,7 @@ def mark(text: Column, spans: Column) -> Column:
 def parse_tags(raw: Column) -> tuple[Column, Column]:
     """Tagged text -> (clean text, spans). Contents of tags are stripped; offsets are of the clean text."""
     p = rf"(?s)<\s*({'|'.join(LABELS)})\s*>(.*?)</\s*\1\s*>"
-    raw = strip(raw)
-    pieces = F.arrays_zip(F.split(raw, p, -1).alias("s"), F.regexp_extract_all(raw, F.lit(p), 1).alias("l"), F.regexp_extract_all(raw, F.lit(p), 2).alias("t"))
+    pieces = let(strip(raw), lambda x: F.arrays_zip(F.split(x, p, -1).alias("s"), F.regexp_extract_all(x, F.lit(p), 1).alias("l"), F.regexp_extract_all(x, F.lit(p), 2).alias("t")))
     start = F.struct(F.lit("").alias("out"), no_spans().alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -198,10 +197,9 @@ def align_counts(text: Column, found: Column) -> Column:
     """(text, label) pairs -> spans: each distinct pair takes as many occurrences as it is named, from the left, of exact
     case or else of any; bounds that an earlier pair has taken are passed over."""
     pairs = F.array_distinct(F.filter(found, lambda e: e["text"] != ""))
-    low = F.lower(text)
     start = F.struct(no_spans().alias("out"))
 
-    def step(acc: Column, p: Column) -> Column:
+    def step(acc: Column, p: Column, low: Column) -> Column:
         need = F.size(F.filter(found, lambda e: (e["text"] == p["text"]) & (e["label"] == p["label"])))
         n = F.length(p["text"])
         begin = F.struct(F.lit(1).alias("pos"), F.lit(0).alias("got"), acc["out"].alias("out"))
@@ -218,7 +216,7 @@ def align_counts(text: Column, found: Column) -> Column:
         # an occurrence taken by another pair costs a look: there are at most as many as spans so far
         return F.struct(F.aggregate(F.sequence(F.lit(1), need + F.size(acc["out"])), begin, look)["out"].alias("out"))
 
-    return by_start(F.aggregate(pairs, start, step)["out"])
+    return by_start(let(F.lower(text), lambda low: F.aggregate(pairs, start, lambda acc, p: step(acc, p, low)))["out"])
 
 
 def align_free(text: Column, found: Column) -> Column:
@@ -254,8 +252,8 @@ def align_cursor(text: Column, found: Column) -> Column:
 def iob_labels(tokens: Column, spans: Column) -> Column:
     """IOB2 label of each token (start, end): that of the span its first code point lies in."""
     holder = lambda t: F.get(F.filter(spans, lambda e: (e["start"] <= t["start"]) & (t["start"] < e["end"])), F.lit(0))
-    held = F.transform(tokens, holder)
-    return F.transform(held, lambda e, i: F.when(e.isNull(), F.lit("O")).when((i > 0) & (F.get(held, i - 1) == e), F.concat(F.lit("I-"), e["label"])).otherwise(F.concat(F.lit("B-"), e["label"])))
+    named = lambda held: F.transform(held, lambda e, i: F.when(e.isNull(), F.lit("O")).when((i > 0) & (F.get(held, i - 1) == e), F.concat(F.lit("I-"), e["label"])).otherwise(F.concat(F.lit("B-"), e["label"])))
+    return let(F.transform(tokens, holder), named)
 
 
 def iob_spans(text: Column, tokens: Column, tags: Column) -> Column:

@@ -15,12 +15,14 @@ def words(text: Column) -> Column:
 
 def _numbered(items: Column) -> Column:
     """Items with the number of their occurrence."""
-    return let(F.array_sort(items), lambda x: F.transform(x, lambda w, i: F.concat_ws("\u0002", w, (i - F.array_position(x, w)).cast("string"))))
+    return let(F.sort_array(items), lambda x: F.transform(x, lambda w, i: F.concat_ws("\u0002", w, (i - F.array_position(x, w)).cast("string"))))
 
 
 def _clipped(a: Column, b: Column) -> Column:
     """Items of a that b holds, each as often as in the one with fewer."""
-    return F.size(F.array_intersect(_numbered(a), _numbered(b)))
+    single = (F.size(F.array_distinct(a)) == F.size(a)) | (F.size(F.array_distinct(b)) == F.size(b))
+    # what one side has once at most needs no numbers
+    return F.when(single, F.size(F.array_intersect(a, b))).otherwise(F.size(F.array_intersect(_numbered(a), _numbered(b))))
 
 
 def rouge1(candidate: Column, reference: Column) -> Column:
@@ -34,7 +36,8 @@ def rouge1(candidate: Column, reference: Column) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    grams = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), "\u0001"))
+    # word by word: a slice copies all tokens for each gram
+    grams = F.transform(F.sequence(F.lit(0), F.size(tokens) - n), lambda i: F.concat_ws("\u0001", *[F.get(tokens, i + k) for k in range(n)]))
     return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
@@ -55,8 +58,12 @@ def bleu4(candidate: Column, reference: Column) -> Column:
 
 def edit_distance(a: Column, b: Column) -> Column:
     """Levenshtein distance as a share of the longer text."""
-    far = F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
-    return F.when(a == b, F.lit(0.0)).when((a == "") | (b == ""), F.lit(1.0)).otherwise(far)
+
+    def score(a: Column, b: Column) -> Column:
+        far = F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
+        return F.when(a == b, F.lit(0.0)).when((a == "") | (b == ""), F.lit(1.0)).otherwise(far)
+
+    return let(a, lambda x: let(b, lambda y: score(x, y)))
 
 
 def leaked(text: Column, secret: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspan.functions import spans as S
+from larkspan.functions.rows import keep
 from larkspan.functions.text import bleu4, edit_distance, leaked, ratio, rouge1
 
 METRICS = ("levenshtein_masked", "rouge1_full", "bleu4_full")
@@ -41,7 +42,7 @@ def tagged_metrics(pairs: DataFrame) -> DataFrame:
 def rewritten_metrics(rows: DataFrame) -> DataFrame:
     """(id, meta_temp, text, gold, rewritten) -> metrics of rewritings; empty ones are left out. What gold survives is
     masked as well, whatever its case and surroundings."""
-    rows = rows.where(F.col("rewritten").isNotNull() & (F.col("rewritten") != ""))
+    rows = keep(rows, F.col("rewritten") != "")
     b = S.mask_strings(S.mask_placeholders(F.col("rewritten")), F.transform("gold", lambda e: e["text"]))
     rows = rows.withColumns({"mask_a": S.mask_spans(F.col("text"), F.col("gold")), "mask_b": b})
     lengths = [F.length("text").alias("original_length"), F.length("rewritten").alias("anonymized_length")]

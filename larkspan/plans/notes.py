@@ -38,16 +38,16 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
     nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name")
     rows = spread(customers, "c_custkey").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
-    parts = F.array(*[F.struct(F.lit(h).alias("head"), v.alias("value"), F.lit(x).alias("label")) for h, v, x in segments()])
-    start = F.struct(F.lit("").alias("out"), S.no_spans().alias("spans"))
-
-    def step(acc: Column, p: Column) -> Column:
-        a = F.length(acc["out"]) + F.length(p["head"])
-        more = F.concat(acc["spans"], F.array(S.span(a, a + F.length(p["value"]), p["label"], p["value"])))
-        return F.struct(F.concat(acc["out"], p["head"], p["value"]).alias("out"), more.alias("spans"))
-
-    made = rows.select(F.col("c_custkey").alias("id"), F.element_at(F.array(F.lit("Low"), F.lit("Medium"), F.lit("High")), (F.col("c_custkey") % 3 + 1).cast("int")).alias("meta_temp"), F.aggregate(parts, start, step).alias("n"))
-    return made.select("id", "meta_temp", F.concat("n.out", F.lit(TAIL)).alias("text"), F.col("n.spans").alias("entities"))
+    # written out by column and not as one fold over the segments, so that Spark compiles it
+    rows = rows.select("c_custkey", *[v.alias(f"v{i}") for i, (_, v, _) in enumerate(segments())])
+    starts, ends, at = [], [], F.lit(0)
+    for i, (head, _, _) in enumerate(segments()):
+        starts.append(at + len(head))
+        ends.append(at := starts[-1] + F.length(f"v{i}"))
+    text = F.concat(*[x for i, (head, _, _) in enumerate(segments()) for x in (F.lit(head), F.col(f"v{i}"))], F.lit(TAIL))
+    entities = F.array(*[S.span(starts[i], ends[i], F.lit(label), F.col(f"v{i}")) for i, (_, _, label) in enumerate(segments())]).cast(SPANS)
+    stratum = F.element_at(F.array(F.lit("Low"), F.lit("Medium"), F.lit("High")), (F.col("c_custkey") % 3 + 1).cast("int"))
+    return rows.select(F.col("c_custkey").alias("id"), stratum.alias("meta_temp"), text.alias("text"), entities.alias("entities"))
 
 
 def predicted() -> Column:

@@ -3,9 +3,16 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from larkspan.functions import parse as P
 from larkspan.functions import rows as R
 from larkspan.functions import spans as S
-from larkspan.plans import notes, queries
+from larkspan.functions import text as T
+from larkspan.operators import evaluate, service
+from larkspan.plans import chain_queries, notes, queries
+
+DEALT = [
+    "rewritten_preservation",
+]
 
 
 @pytest.fixture(scope="session")
@@ -46,3 +53,34 @@ def test_pattern_detector_makes_each_note_once(spark, tables):
 
 def test_registry_detector_makes_each_note_once(spark, tables):
     assert _made(queries.registry_detector(spark, tables)) == 1
+
+
+@pytest.mark.parametrize("name", DEALT)
+def test_customers_are_dealt_out_wherever_they_are_read(spark, tables, name):
+    plan = queries.QUERIES[name](spark, tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [c_custkey") == plan.count("RepartitionByExpression [c_custkey") > 0
+
+
+def _once(spark, made) -> bool:
+    """Whether the plan works out a text once that a function is given."""
+    df = spark.createDataFrame([("ab cd ab",)], "t string").select(made(F.concat("t", F.lit("needle"))).alias("x"))
+    df.collect()
+    return df._jdf.queryExecution().optimizedPlan().toString().count("needle") == 1
+
+
+def test_rewritten_preservation_makes_each_note_once(spark, tables):
+    assert _made(queries.rewritten_preservation(spark, tables)) == 1
+
+
+def test_grams_are_clipped(spark):
+    """Repeats on both sides, on one, and on none."""
+    from collections import Counter
+
+    texts = ["a b a b a c", "a b c d e", "b a b a b", "a a", "x", "c d a b a b"]
+    pairs = [(x, y) for x in texts for y in texts]
+    df = spark.createDataFrame(pairs, "x string, y string")
+    for n in (1, 2, 3):
+        split = lambda c: T.ngrams(F.split(c, " "), n)
+        got = [r.hit for r in df.select(T._clipped(split("x"), split("y")).alias("hit")).collect()]
+        grams = lambda t: Counter(tuple(w[i : i + n]) for w in [t.split()] for i in range(len(w) - n + 1))
+        assert got == [sum((grams(x) & grams(y)).values()) for x, y in pairs]
