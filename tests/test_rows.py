@@ -12,6 +12,7 @@ from larkspan.plans import chain_queries, notes, queries
 
 DEALT = [
     "rewritten_preservation",
+    "text_preservation",
 ]
 
 
