@@ -85,3 +85,8 @@ def test_grams_are_clipped(spark):
         got = [r.hit for r in df.select(T._clipped(split("x"), split("y")).alias("hit")).collect()]
         grams = lambda t: Counter(tuple(w[i : i + n]) for w in [t.split()] for i in range(len(w) - n + 1))
         assert got == [sum((grams(x) & grams(y)).values()) for x, y in pairs]
+
+
+def test_facts_read_the_pairs_once(spark, tables):
+    plan = evaluate.facts(queries._pairs(spark, tables), "a")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [c_custkey") == 1
