@@ -13,6 +13,7 @@ from larkspan.plans import chain_queries, notes, queries
 DEALT = [
     "rewritten_preservation",
     "text_preservation",
+    "marks_aligned",
 ]
 
 
@@ -90,3 +91,7 @@ def test_grams_are_clipped(spark):
 def test_facts_read_the_pairs_once(spark, tables):
     plan = evaluate.facts(queries._pairs(spark, tables), "a")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [c_custkey") == 1
+
+
+def test_marked_entities_make_the_answer_once(spark):
+    assert _once(spark, P.marked_entities) and _once(spark, P.loose_marks)
