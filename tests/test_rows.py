@@ -14,6 +14,7 @@ DEALT = [
     "rewritten_preservation",
     "text_preservation",
     "marks_aligned",
+    "detector_scores",
 ]
 
 
