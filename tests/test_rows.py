@@ -15,6 +15,7 @@ DEALT = [
     "text_preservation",
     "marks_aligned",
     "detector_scores",
+    "bleu_of_anonymized",
 ]
 
 
