@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from larkspan.functions import parse as P
 from larkspan.functions import spans as S
+from larkspan.functions.rows import keep
 from larkspan.operators import detect, evaluate, leakage
 from larkspan.schema import ATTRIBUTES, LIST_ATTRIBUTES, SPANS
 from larkspan.sources import clients, writers
@@ -37,7 +38,7 @@ def anonymize(docs: DataFrame, pipeline: str, **models: detect.Detector) -> Data
         raise ValueError(f"unknown pipeline '{pipeline}'")
     rows = docs.select("id", S.strip(F.coalesce("text", F.lit(""))).alias("text"))
     error = F.when(F.col("text") == "", "empty text")
-    found = known[pipeline](rows.where("text <> ''"))
+    found = known[pipeline](keep(rows, F.col("text") != ""))
     name = F.lit(pipeline).alias("pipeline")
     if "rewritten" in found.columns:
         none = [F.lit(None).cast(t).alias(c) for c, t in (("entities", f"{SOURCED}"), ("masked", "string"), ("n", "int"), ("breakdown", "map<string,int>"))]

@@ -16,6 +16,7 @@ DEALT = [
     "marks_aligned",
     "detector_scores",
     "bleu_of_anonymized",
+    "anonymized_by_cascade",
 ]
 
 
@@ -97,3 +98,8 @@ def test_facts_read_the_pairs_once(spark, tables):
 
 def test_marked_entities_make_the_answer_once(spark):
     assert _once(spark, P.marked_entities) and _once(spark, P.loose_marks)
+
+
+def test_anonymize_makes_each_note_once_a_branch(spark, tables):
+    out = service.anonymize(notes.notes(spark, tables), "regex").select("n")
+    assert _made(out) == 1
