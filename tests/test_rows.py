@@ -17,6 +17,7 @@ DEALT = [
     "detector_scores",
     "bleu_of_anonymized",
     "anonymized_by_cascade",
+    "iob_round_trip",
 ]
 
 
@@ -103,3 +104,8 @@ def test_marked_entities_make_the_answer_once(spark):
 def test_anonymize_makes_each_note_once_a_branch(spark, tables):
     out = service.anonymize(notes.notes(spark, tables), "regex").select("n")
     assert _made(out) == 1
+
+
+def test_iob_labels_find_the_spans_once(spark):
+    spans = lambda t: F.array(S.span(F.lit(0), F.length(t), F.lit("PER"), F.lit("")))
+    assert _once(spark, lambda t: S.iob_labels(F.array(F.struct(F.lit(0).alias("start"), F.length(t).alias("end"))), spans(F.lit("x"))))
