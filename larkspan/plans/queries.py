@@ -554,7 +554,7 @@ def run_stats(spark: SparkSession, d: str) -> DataFrame:
 def pipelines_side_by_side(spark: SparkSession, d: str) -> DataFrame:
     bent = _pairs(spark, d)
     both = evaluate.facts(bent, "bent").unionByName(evaluate.facts(bent.withColumn("predicted", F.col("gold")), "perfect"))
-    wide = evaluate.side_by_side(both).where("tier = 'All Categories' and matching = 'strict'")
+    wide = evaluate.side_by_side(both, ["bent", "perfect"]).where("tier = 'All Categories' and matching = 'strict'")
     return _r(wide.select("tier", "matching", "bent", "perfect"), "bent")
 
 

@@ -18,6 +18,7 @@ DEALT = [
     "bleu_of_anonymized",
     "anonymized_by_cascade",
     "iob_round_trip",
+    "pipelines_side_by_side",
 ]
 
 
@@ -109,3 +110,8 @@ def test_anonymize_makes_each_note_once_a_branch(spark, tables):
 def test_iob_labels_find_the_spans_once(spark):
     spans = lambda t: F.array(S.span(F.lit(0), F.length(t), F.lit("PER"), F.lit("")))
     assert _once(spark, lambda t: S.iob_labels(F.array(F.struct(F.lit(0).alias("start"), F.length(t).alias("end"))), spans(F.lit("x"))))
+
+
+def test_side_by_side_reads_the_notes_once_a_pipeline(spark, tables):
+    plan = queries.pipelines_side_by_side(spark, tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [c_custkey") == 2
