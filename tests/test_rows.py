@@ -19,6 +19,7 @@ DEALT = [
     "anonymized_by_cascade",
     "iob_round_trip",
     "pipelines_side_by_side",
+    "edit_distance_of_anonymized",
 ]
 
 
@@ -115,3 +116,7 @@ def test_iob_labels_find_the_spans_once(spark):
 def test_side_by_side_reads_the_notes_once_a_pipeline(spark, tables):
     plan = queries.pipelines_side_by_side(spark, tables)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [c_custkey") == 2
+
+
+def test_edit_distance_makes_its_texts_once(spark):
+    assert _once(spark, lambda t: T.edit_distance(F.col("t"), t))
