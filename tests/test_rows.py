@@ -20,6 +20,7 @@ DEALT = [
     "iob_round_trip",
     "pipelines_side_by_side",
     "edit_distance_of_anonymized",
+    "tags_parsed",
 ]
 
 
@@ -120,3 +121,7 @@ def test_side_by_side_reads_the_notes_once_a_pipeline(spark, tables):
 
 def test_edit_distance_makes_its_texts_once(spark):
     assert _once(spark, lambda t: T.edit_distance(F.col("t"), t))
+
+
+def test_tags_are_parsed_from_a_text_made_once(spark):
+    assert _once(spark, lambda t: S.parse_tags(t)[1])
