@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from larkspan.functions import spans as S
 from larkspan.functions import text as T
+from larkspan.functions.rows import each, spread
 from larkspan.operators import corpus, detect, evaluate, judge, leakage, preserve, service
 from larkspan.plans import queries as Q
 from larkspan.plans.notes import SQL, STRICT, notes, predictions
@@ -169,7 +170,7 @@ def detectors_combined(spark: SparkSession, d: str) -> DataFrame:
     made = notes(spark, d)
     names = {r.n_name: "LOC" for r in Q._table(spark, d, "nation").select("n_name").collect()}  # 25 nations
     found = detect.combine(made, detect.detect_patterns(made), detect.gazetteer(names)(made))
-    return found.select("id", F.explode("entities").alias("e")).select("id", "e.label", "e.start", "e.end")
+    return found.select("id", each(F.col("entities")).alias("e")).select("id", "e.label", "e.start", "e.end")
 
 
 # The service's patterns take the comma after an amount with it.
@@ -197,7 +198,7 @@ _CHAIN = "WITH k AS (SELECT c_custkey AS id, c_name, n_name, c_custkey % 4 AS k
 
 @query(f"{_CHAIN} SELECT id, person, location, CAST(person AS INTEGER) + CAST(location AS INTEGER) AS leak_count FROM m")
 def attacks_with_fallback(spark: SparkSession, d: str) -> DataFrame:
-    rows = Q._table(spark, d, "customer").join(Q._table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = spread(Q._table(spark, d, "customer"), "c_custkey").join(Q._table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     k = F.col("c_custkey") % 4
     truth = F.concat(F.lit('Sure: {"person": ["'), F.col("c_name"), F.lit('"], "age": null, "location": "'), F.col("n_name"), F.lit('"} done'))
     # breaks off; the second kind of guess is a placeholder only

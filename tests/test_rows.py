@@ -21,6 +21,7 @@ DEALT = [
     "pipelines_side_by_side",
     "edit_distance_of_anonymized",
     "tags_parsed",
+    "detectors_combined",
 ]
 
 
@@ -125,3 +126,7 @@ def test_edit_distance_makes_its_texts_once(spark):
 
 def test_tags_are_parsed_from_a_text_made_once(spark):
     assert _once(spark, lambda t: S.parse_tags(t)[1])
+
+
+def test_detectors_combined_resolve_once(spark, tables):
+    assert "size(aggregate" not in chain_queries.detectors_combined(spark, tables)._jdf.queryExecution().optimizedPlan().toString()
