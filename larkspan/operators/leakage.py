@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspan.functions import spans as S
+from larkspan.functions.rows import numbered
 from larkspan.functions.text import leaked, ratio
 from larkspan.schema import label_tier
 
@@ -23,7 +24,8 @@ def seen_text(rewritten: Column, text: Column, spans: Column) -> Column:
 
 def entity_leaks(rows: DataFrame) -> DataFrame:
     """(id, meta_temp, gold, anon) -> one row per gold entity: id, meta_temp, seq, label, surface, leaked."""
-    each = rows.where(F.col("anon") != "").select("id", F.coalesce("meta_temp", F.lit("Unknown")).alias("meta_temp"), "anon", F.posexplode("gold").alias("seq", "e"))
+    # texts without a letter give no entities: a filter on them would be pushed down, and make each text twice
+    each = rows.select("id", F.coalesce("meta_temp", F.lit("Unknown")).alias("meta_temp"), "anon", numbered(F.when(F.col("anon") != "", F.col("gold"))).alias("seq", "e"))
     return each.select("id", "meta_temp", "seq", F.col("e.label").alias("label"), F.col("e.text").alias("surface"), leaked(F.col("anon"), F.col("e.text")).alias("leaked"))
 
 
@@ -65,7 +67,7 @@ def docs_with_leaks(leaks: DataFrame) -> DataFrame:
 
 def leak_samples(rows: DataFrame, top: int = 20, reach: int = 30) -> DataFrame:
     """The first leaked strings with what stands around them in the anonymized text."""
-    each = rows.select("id", "anon", F.posexplode("gold").alias("seq", "e")).where(leaked(F.col("anon"), F.col("e.text")))
+    each = rows.select("id", "anon", numbered(F.col("gold")).alias("seq", "e")).where(leaked(F.col("anon"), F.col("e.text")))
     at = F.call_function("locate", F.lower("e.text"), F.lower("anon"), F.lit(1)) - 1
     where = F.struct(at.alias("start"), (at + F.length("e.text")).alias("end"))
     return each.orderBy("id", "seq").limit(top).select("id", "seq", F.col("e.label").alias("label"), F.col("e.text").alias("surface"), S.context(F.col("anon"), where, reach).alias("context"))

@@ -22,6 +22,7 @@ DEALT = [
     "edit_distance_of_anonymized",
     "tags_parsed",
     "detectors_combined",
+    "leakage_macro_all",
 ]
 
 
