@@ -23,6 +23,7 @@ DEALT = [
     "tags_parsed",
     "detectors_combined",
     "leakage_macro_all",
+    "leakage_pooled",
 ]
 
 
@@ -131,3 +132,7 @@ def test_tags_are_parsed_from_a_text_made_once(spark):
 
 def test_detectors_combined_resolve_once(spark, tables):
     assert "size(aggregate" not in chain_queries.detectors_combined(spark, tables)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_leaks_make_each_note_once(spark, tables):
+    assert _made(queries.leakage_pooled(spark, tables)) == 1
