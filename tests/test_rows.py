@@ -24,6 +24,7 @@ DEALT = [
     "detectors_combined",
     "leakage_macro_all",
     "leakage_pooled",
+    "leakage_by_tier",
 ]
 
 
