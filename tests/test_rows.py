@@ -25,6 +25,7 @@ DEALT = [
     "leakage_macro_all",
     "leakage_pooled",
     "leakage_by_tier",
+    "cascade_sources",
 ]
 
 
