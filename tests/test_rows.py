@@ -26,6 +26,7 @@ DEALT = [
     "leakage_pooled",
     "leakage_by_tier",
     "cascade_sources",
+    "docs_with_leaks",
 ]
 
 
