@@ -27,6 +27,7 @@ DEALT = [
     "leakage_by_tier",
     "cascade_sources",
     "docs_with_leaks",
+    "marks_aligned_cursor",
 ]
 
 
