@@ -28,6 +28,7 @@ DEALT = [
     "cascade_sources",
     "docs_with_leaks",
     "marks_aligned_cursor",
+    "marks_aligned_free",
 ]
 
 
