@@ -29,6 +29,7 @@ DEALT = [
     "docs_with_leaks",
     "marks_aligned_cursor",
     "marks_aligned_free",
+    "attacks_with_fallback",
 ]
 
 
