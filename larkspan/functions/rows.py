@@ -5,14 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Parts for each core, so that no core waits long for the last one.
+#: Parts for each core at least, so that no core waits long for the last one.
 WAVES = 3
+#: Bytes of a larger table's files to a part, so that no task grows with the table, and the parts at most that a shuffle is cut into.
+PART_BYTES, MOST_PARTS = 1 << 18, 10_000
+
+
+def _bytes(rows: DataFrame) -> int:
+    """What the rows take by the plan's estimate, for files their size; 0 if it has none."""
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 60 else 0
 
 
 def spread(rows: DataFrame, key: str) -> DataFrame:
     """The rows dealt out by a key over all cores. A table that lies in few files and row groups is read in as few tasks,
-    and what is made of its rows without a shuffle would stay in them."""
-    return rows.repartition(WAVES * rows.sparkSession.sparkContext.defaultParallelism, key)
+    and what is made of its rows without a shuffle would stay in them. The parts grow in number with the table, also where
+    the executors that a session waits for have not all come up yet."""
+    parts = min(_bytes(rows) // PART_BYTES, MOST_PARTS)
+    return rows.repartition(max(WAVES * rows.sparkSession.sparkContext.defaultParallelism, parts), key)
 
 
 def each(items: Column) -> Column:

@@ -142,3 +142,15 @@ def test_detectors_combined_resolve_once(spark, tables):
 
 def test_leaks_make_each_note_once(spark, tables):
     assert _made(queries.leakage_pooled(spark, tables)) == 1
+
+
+def test_parts_grow_with_the_table(spark, tables, monkeypatch):
+    """A larger table is dealt out to more parts, not to longer ones, and no row is lost."""
+    monkeypatch.setattr(R, "PART_BYTES", 20)
+    customers = spark.read.parquet(f"{tables}/customer.parquet")
+    dealt = notes.notes(spark, tables)
+    assert dealt.rdd.getNumPartitions() > R.WAVES * spark.sparkContext.defaultParallelism
+    assert sorted(r.id for r in dealt.select("id").collect()) == list(range(60))
+    monkeypatch.setattr(R, "MOST_PARTS", 40)
+    assert R.spread(customers, "c_custkey").rdd.getNumPartitions() == 40
+    assert R.spread(spark.createDataFrame([(1,)], "c_custkey int"), "c_custkey").rdd.getNumPartitions() == R.WAVES * spark.sparkContext.defaultParallelism
