@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from larkspan.schema import LABELS, SPANS
 
 MASK = "▮"
+#: Stands around a match while a text is cut.
+CUT = "\u0000"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -33,14 +35,16 @@ def span(start: Column, end: Column, label: Column, text: Column) -> Column:
 def find(text: Column, pattern: str, label: str) -> Column:
     """All matches of a Java pattern, read with Unicode classes, as spans in their order."""
     p = pattern if pattern.startswith("(?") and "U" in pattern[:6] else f"(?U){pattern}"
-    found = F.arrays_zip(F.regexp_extract_all(text, F.lit(p), 0).alias("m"), F.split(text, p, -1).alias("s"))
-    start = F.struct(F.lit(0).alias("pos"), no_spans().alias("out"))
+    # one scan gives what lies between matches and the matches by turns; where the text holds the sign itself, two do
+    zipped = F.arrays_zip(F.split(text, p, -1).alias("s"), F.regexp_extract_all(text, F.lit(p), 0).alias("m"))
+    scanned = F.flatten(F.transform(zipped, lambda x: F.when(x["m"].isNull(), F.array(x["s"])).otherwise(F.array(x["s"], x["m"]))))
+    found = F.when(F.contains(text, F.lit(CUT)), scanned).otherwise(F.split(F.regexp_replace(text, p, f"{CUT}$0{CUT}"), CUT, -1))
+    start = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("hit"), no_spans().alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        a = acc["pos"] + F.length(x["s"])
-        b = a + F.length(F.coalesce(x["m"], F.lit("")))
-        out = F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span(a, b, F.lit(label), x["m"]))))
-        return F.struct(b.alias("pos"), out.alias("out"))
+        b = acc["pos"] + F.length(x)
+        out = F.when(acc["hit"], F.concat(acc["out"], F.array(span(acc["pos"], b, F.lit(label), x)))).otherwise(acc["out"])
+        return F.struct(b.alias("pos"), (~acc["hit"]).alias("hit"), out.alias("out"))
 
     return F.when(text.rlike(p), F.aggregate(found, start, step, lambda acc: acc["out"])).otherwise(no_spans())
 

